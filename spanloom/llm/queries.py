@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, shard
+from . import decontam, shard, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,9 @@ ORACLE_SQL["op1_sharding"] = shard.oracle()
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy tiling has no SQL form; tests hold it against a search of all pairs."""
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and the Golay code have no SQL form; tests hold the pairs against a search of all pairs."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
