@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality, shard, simhash
+from . import decontam, mixing, quality, shard, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model is learned, so there is no SQL form; tests hold its column against its arrays, and its verdicts against held-out labels."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op7_mixing"] = mixing.oracle()
