@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, shard, simhash
+from . import chat, decontam, mixing, quality, shard, simhash, spans
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,27 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op7_mixing"] = mixing.oracle()
+
+
+@query
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shortened(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op9_sentence_spans"] = spans.oracle()
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.maximal(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op10_chat"] = chat.oracle()
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op3_secrets"] = secrets.oracle()
