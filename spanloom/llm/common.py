@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
+
+from ..functions.shipping import ship
 
 MASK = (1 << 64) - 1
 
@@ -33,6 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def apply_arrow(grouped: GroupedData, run: Callable, schema: str) -> DataFrame:
+    ship(grouped.session)
+    return grouped.applyInArrow(run, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

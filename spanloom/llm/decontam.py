@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import grams, slices, utf8, whole, words
+from .common import grams, map_arrow, slices, utf8, whole, words
 
 MIN_MATCH, THRESHOLD, CHUNK_BYTES = 5, 0.5, 32 << 20
 
@@ -183,7 +183,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
                 )
 
         batch_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(detect, schema))
+        found = found.unionByName(map_arrow(docs.select("doc_id", "text"), detect, schema))
     best = F.max(F.struct("coverage", "n_covered", "n_tiles")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_covered", "best.n_tiles", "best.coverage")
 
@@ -202,5 +202,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
                 bad = {x[0] for x in shared.value.matches(*utf8(batch.column(where))) if x[2] >= threshold}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = map_arrow(docs, keep, docs.schema)
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, mixing, quality, secrets, shard, simhash, spans, suffix
+from . import chat, decontam, embed, mixing, quality, secrets, shard, simhash, spans, suffix
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,11 @@ ORACLE_SQL["op3_secrets"] = secrets.oracle()
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sort of all suffixes has no practical SQL form; tests hold the spans against a search of all windows."""
     return suffix.repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op4_embedding_near_dedup"] = embed.oracle()

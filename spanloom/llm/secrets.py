@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, utf8
+from .common import map_arrow, slices, utf8
 
 RULES = {
     "access_key_id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
@@ -224,7 +224,7 @@ def secrets(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, rule string, occurrence bigint, n_chars bigint, sha256 string")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, rule string, occurrence bigint, n_chars bigint, sha256 string")
 
 
 def oracle(rules: dict[str, str] | None = None) -> str:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix, slices, utf8, words
+from .common import cut, map_arrow, mix, slices, utf8, words
 from .graph import components
 
 DISTANCE, SEGMENTS, WIDTH, SEGMENTS_PER_KEY = 12, 4, 23, 2
@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array(high)], ["doc_id", "tid", "low", "high"])
             yield out.filter(pa.array(count > 0))
 
-    return docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("tid"), "text"), run, schema)
 
 
 def keys(nodes: DataFrame, per_key: int = SEGMENTS_PER_KEY) -> DataFrame:
@@ -122,7 +122,7 @@ def keys(nodes: DataFrame, per_key: int = SEGMENTS_PER_KEY) -> DataFrame:
                     at = pa.array(np.flatnonzero(use))
                     yield pa.RecordBatch.from_arrays([pa.array(key).take(at), *(batch.column(c).take(at) for c in range(3))], ["key", "node", "low", "high"])
 
-    return nodes.select("node", "low", "high").mapInArrow(run, "key bigint, node bigint, low bigint, high bigint")
+    return map_arrow(nodes.select("node", "low", "high"), run, "key bigint, node bigint, low bigint, high bigint")
 
 
 def _apart(low: np.ndarray, high: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def close_pairs(keyed: DataFrame, distance: int = DISTANCE, large: int = 48) ->
         if held:
             yield link(*(np.concatenate([h[k] for h in held]) for k in range(4)))
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), run, "a bigint, b bigint").distinct()
 
 
 def groups(prints: DataFrame, distance: int = DISTANCE, per_key: int = SEGMENTS_PER_KEY) -> DataFrame:

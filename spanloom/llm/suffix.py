@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import grams, mix, shuffle_partitions, slices, utf8, whole, words
+from .common import apply_arrow, grams, map_arrow, mix, shuffle_partitions, slices, utf8, whole, words
 
 MIN_TOKENS, SEED_TOKENS, RUN_SUFFIXES = 50, 16, 1 << 20
 NAME = 16
@@ -79,7 +79,7 @@ def seeds(docs: DataFrame, min_tokens: int, seed_tokens: int) -> DataFrame:
                 got = at[index]
                 yield pa.RecordBatch.from_arrays([pa.array(least[got].view(np.int64)), batch.column(0).take(pa.array(owner[got] + a)), pa.array(n.astype(np.int32))], ["seed", "rid", "n"])
 
-    return docs.select("rid", "text").mapInArrow(run, "seed bigint, rid bigint, n int")
+    return map_arrow(docs.select("rid", "text"), run, "seed bigint, rid bigint, n int")
 
 
 def repeated_seeds(found: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def _runs(docs: DataFrame, min_tokens: int, seed_tokens: int, parts: int) -> Dat
         if held:
             yield sort(held)
 
-    return docs.select("doc", "rid", "text", "seeds").mapInArrow(run, "part int, run binary")
+    return map_arrow(docs.select("doc", "rid", "text", "seeds"), run, "part int, run binary")
 
 
 def _later(blobs: list[bytes], min_tokens: int) -> tuple[np.ndarray, ...]:
@@ -299,7 +299,7 @@ def spans(docs: DataFrame, min_tokens: int = MIN_TOKENS, seed_tokens: int = SEED
     def run(group: pa.Table) -> pa.Table:
         return pa.table([pa.array(x.astype(np.int64)) for x in _later(group.column("run").to_pylist(), min_tokens)], names)
 
-    pieces = runs.groupBy("part").applyInArrow(run, ", ".join(f"`{c}` bigint" for c in names))
+    pieces = apply_arrow(runs.groupBy("part"), run, ", ".join(f"`{c}` bigint" for c in names))
     order = Window.partitionBy("doc", "rid").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order)
