@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import texts  # noqa: F401  (registers its queries)
+from . import scorecards, texts, traffic  # noqa: F401  (they register their queries)
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
