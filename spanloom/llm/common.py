@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 
@@ -45,6 +46,21 @@ def apply_arrow(grouped: GroupedData, run: Callable, schema: str) -> DataFrame:
     return grouped.applyInArrow(run, schema)
 
 
+def aside(df: DataFrame) -> DataFrame:
+    """df with its columns named __c0, __c1, ..., so that no name of theirs meets one of an operator's."""
+    return df.toDF(*[f"__c{k}" for k in range(len(df.columns))])
+
+
+def named(df: DataFrame, column: str) -> str:
+    """What aside() calls a column."""
+    return f"__c{df.columns.index(column)}"
+
+
+def back(renamed: DataFrame, df: DataFrame, **instead: Column) -> DataFrame:
+    """The columns of df again, from a frame that came from aside(df)."""
+    return renamed.select(*[instead.get(c, F.col(f"__c{k}")).alias(c) for k, c in enumerate(df.columns)])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -82,9 +98,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def utf8(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each row starts in them; a null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
+    if lower:
+        column = pc.utf8_lower(column)
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, where, data = column.buffers()

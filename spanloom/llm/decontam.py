@@ -109,7 +109,7 @@ class Index:
     @classmethod
     def of(cls, rows: list[Row], min_match: int) -> Index:
         ids = [r[0] for r in rows]
-        hashes, first, *_ = words(*utf8(pa.array([r[1] for r in rows], pa.string())))
+        hashes, first, *_ = words(*utf8(pa.array([r[1] for r in rows], pa.string()), lower=True))
         ok = whole(first, min_match, len(hashes))
         seeds = grams(hashes, min_match)[ok]
         owner = np.repeat(np.arange(len(ids)), np.diff(first))[: len(ok)][ok]
@@ -175,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
         def detect(batches, shared=shared):
             own = shared.value
             for batch in batches:
-                got = [x for x in own.matches(*utf8(batch.column(1))) if x[2] >= threshold]
+                got = [x for x in own.matches(*utf8(batch.column(1), lower=True)) if x[2] >= threshold]
                 ids = batch.column(0)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array([x[0] for x in got], pa.int64())), pa.array([own.ids[x[1]] for x in got], batch_type), pa.array([x[3] for x in got], pa.int32()), pa.array([x[4] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.float64())],
@@ -199,7 +199,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
 
         def keep(batches, shared=shared):
             for batch in batches:
-                bad = {x[0] for x in shared.value.matches(*utf8(batch.column(where))) if x[2] >= threshold}
+                bad = {x[0] for x in shared.value.matches(*utf8(batch.column(where), lower=True)) if x[2] >= threshold}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
         docs = map_arrow(docs, keep, docs.schema)

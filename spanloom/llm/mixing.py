@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import aside, back, named
+
 BLOCK_TOKENS, EVEN_PARTS, SEED, BROADCAST_SLOTS = 65_536, 4, "mix-1", 500_000
 _GOLDEN, _CELLS, _SLACK = 2_654_435_769, 1 << 20, 40
 
@@ -71,14 +73,15 @@ def schedule(spark, plan: list[tuple[str | None, int, int]]) -> tuple[DataFrame,
 
 
 def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, weights: dict[str | None, int] | None = None, seed: str = SEED, broadcast_slots: int = BROADCAST_SLOTS) -> DataFrame:
-    """docs with __n_tokens, __slot, __epoch, __block, once for every slot of its block.
+    """aside(docs) with __n_tokens, __slot, __epoch, __block, once for every slot of the block.
 
     A null source is a source of its own. A document without tokens adds nothing to its stream and comes with the block in which it stands;
     a source that has none but such documents can't be placed and drops out, as do sources without a weight. Rows that repeat an id are placed side
     by side, ties in order of tokens. An empty table gives no rows.
     """
-    own = [c for c in docs.columns if c not in ("__n_tokens", "__h", "__bucket", "__before", "__slot", "__epoch", "__block")]
-    rows = docs.select(*own, count_tokens(F.col("text")).alias("__n_tokens"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("__h"))
+    h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(named(docs, "doc_id")).cast("string"), F.lit(""))))
+    own = [f"__c{k}" for k in range(len(docs.columns))]
+    rows = aside(docs).select(*own, F.col(named(docs, "doc_id")).alias("doc_id"), F.col(named(docs, "source")).alias("source"), count_tokens(F.col(named(docs, "text"))).alias("__n_tokens"), h.alias("__h"))
     rows = rows.withColumn("__bucket", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
     sums = rows.groupBy("source", "__bucket").agg(F.sum("__n_tokens").alias("__sum"))
     plan = bounds([(r[0], r[1]) for r in sums.groupBy("source").agg(F.sum("__sum")).collect()], block_tokens, weights)
@@ -99,10 +102,15 @@ def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, weights: dict[str | N
     return out.select(*own, "__n_tokens", "__slot", "__epoch", "__block")
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """docs, with its columns only, each row once for every slot of its block."""
+    return back(mix(docs, **how), docs)
+
+
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """(slot, source, epoch, block, doc_id, n_tokens): the whole schedule with the documents of each slot."""
     out = mix(docs.select("doc_id", "text", "source"), **how)
-    return out.select(F.col("__slot").alias("slot"), "source", F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), "doc_id", F.col("__n_tokens").alias("n_tokens"))
+    return out.select(F.col("__slot").alias("slot"), F.col("__c2").alias("source"), F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), F.col("__c0").alias("doc_id"), F.col("__n_tokens").alias("n_tokens"))
 
 
 def oracle(block_tokens: int = BLOCK_TOKENS, seed: str = SEED) -> str:

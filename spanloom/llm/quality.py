@@ -17,7 +17,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS, TREES, DEPTH, PENALTY, LEXICON_TERMS, LEXICON_MIN_DOCS = 8_000, 12, 3, 0.004, 200, 5
+from .common import aside, back, named
+
+SAMPLE_ROWS, TREES, DEPTH, PENALTY, LEXICON_TERMS, LEXICON_MIN_DOCS, LEXICON_ODDS = 8_000, 12, 3, 0.004, 200, 5, 3
 SYMBOLS = "#$%&*|<>{}=~^"
 
 
@@ -59,12 +61,17 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(flat, " "), "")
 
 
-def with_statistics(df: DataFrame, text: str, lexicon: list[str]) -> DataFrame:
-    """df with a struct __s. Generators stand between the steps, so that no statistic is worked out again where it is used."""
-    once = df.select("*", F.inline(F.array(F.struct(split_words(F.col(text)).alias("__words")))))
+def with_statistics(df: DataFrame, lexicon: list[str]) -> DataFrame:
+    """aside(df) with __filled, whether there is a text at all, and __s, the statistics of `text`.
+
+    Generators stand between the steps, so that no statistic is worked out again where it is used.
+    """
+    text = F.coalesce(F.col(named(df, "text")), F.lit(""))
+    once = aside(df).select("*", F.inline(F.array(F.struct(split_words(text).alias("__words")))))
     once = once.select("*", F.inline(F.array(F.struct(F.array_distinct("__words").alias("__distinct")))))
-    stats = statistics(F.coalesce(F.col(text), F.lit("")), lexicon)
-    return once.select(*df.columns, F.inline(F.array(F.struct(F.struct(*[c.cast("double").alias(k) for k, c in stats.items()]).alias("__s")))))
+    stats = F.struct(*[c.cast("double").alias(k) for k, c in statistics(text, lexicon).items()])
+    once = once.select("*", F.inline(F.array(F.struct(stats.alias("__s")))))
+    return once.withColumn("__filled", F.trim(F.replace(text, F.lit("\n"), F.lit(" "))) != "").drop("__words", "__distinct")
 
 
 @dataclass
@@ -131,9 +138,9 @@ def _tree(x: np.ndarray, target: np.ndarray, cuts: list[np.ndarray], rows: np.nd
         _tree(x, target, cuts, rows[side == above], depth - 1, (*path, (k, above, t)), least, out)
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY) -> Ensemble:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY, unknown: float = 1.0) -> Ensemble:
     """Boost trees on the logistic gradient, take their paths as rules, and weigh those by L1 logistic regression (FISTA)."""
-    rate = float(np.clip(y.mean() if len(y) else 1.0, 1e-3, 1 - 1e-3))
+    rate = float(np.clip(y.mean() if len(y) else unknown, 1e-3, 1 - 1e-3))
     base = float(np.log(rate / (1 - rate)))
     if not len(y) or y.min() == y.max():
         return Ensemble(base)
@@ -181,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit both ensembles on the labelled documents, at most sample_rows of them, those with the least hash of doc_id.
 
     Rows with a null id, text or label, and ids that docs lacks, are passed over. A label with one value only, or no labels at all, gives an
-    ensemble without rules.
+    ensemble without rules; without labels every text is good and clean.
     """
     few = labels.select("doc_id", "quality", "toxic").where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -193,27 +200,27 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     lexicon: list[str] = []
     if 0 < bad < n:
         odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n - bad + 1.0))
-        lexicon = [r["w"] for r in per.withColumn("odds", odds).where("odds > 2").orderBy(F.desc("odds"), "w").limit(LEXICON_TERMS).collect()]
-    got = with_statistics(texts, "text", lexicon).select("doc_id", "quality", "toxic", "__s.*").orderBy("doc_id").collect()
-    data = np.array([[float(v) for v in r[1:]] for r in got]).reshape(-1, 2 + len(STATISTICS))
+        lexicon = [r["w"] for r in per.withColumn("odds", odds).where(f"odds > {LEXICON_ODDS}").orderBy(F.desc("odds"), "w").limit(LEXICON_TERMS).collect()]
+    got = with_statistics(texts.select("text", "quality", "toxic"), lexicon).select("__c1", "__c2", "__s.*").collect()
+    data = np.array([[float(v) for v in r] for r in got]).reshape(-1, 2 + len(STATISTICS))
     order = np.lexsort(data.T)
     data = data[order]
-    return Model(fit(data[:, 2:], data[:, 0]), fit(data[:, 2:], data[:, 1]), lexicon)
+    return Model(fit(data[:, 2:], data[:, 0]), fit(data[:, 2:], data[:, 1], unknown=0.0), lexicon)
 
 
-def _verdict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    scored = with_statistics(docs, "text", model.lexicon)
-    return scored.select(*columns, model.quality.column().alias("__good"), model.toxic.column().alias("__toxic"), (F.coalesce(F.trim("text"), F.lit("")) != "").alias("__filled"))
+def _verdict(docs: DataFrame, model: Model) -> DataFrame:
+    return with_statistics(docs, model.lexicon).withColumns({"__good": model.quality.column(), "__toxic": model.toxic.column()})
 
 
-KEEP = (F.col("__good") >= 0.5) & (F.col("__toxic") < 0.5) & F.col("__filled")
+def _kept() -> Column:
+    return (F.col("__good") >= 0.5) & (F.col("__toxic") < 0.5) & F.col("__filled")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, p_quality, p_toxic, keep) of every row; a null or blank text isn't kept. Repeated rows are scored alike."""
-    return _verdict(docs.select("doc_id", "text"), model, ["doc_id"]).select("doc_id", F.col("__good").alias("p_quality"), F.col("__toxic").alias("p_toxic"), KEEP.alias("keep"))
+    return _verdict(docs.select("doc_id", "text"), model).select(F.col("__c0").alias("doc_id"), F.col("__good").alias("p_quality"), F.col("__toxic").alias("p_toxic"), _kept().alias("keep"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """docs, with all its columns, without the rows that score() doesn't keep."""
-    return _verdict(docs, model, docs.columns).where(KEEP).select(*docs.columns)
+    return back(_verdict(docs, model).where(_kept()), docs)

@@ -1,6 +1,6 @@
 """Near duplicates by SimHash with Golay-code fuzzy hashing.
 
-Each text gets a fingerprint of 92 bits: the sign of the sum of its distinct tokens' random +-1 vectors. It is cut into four segments of 23
+Each text gets a fingerprint of 92 bits: the sign of the sum of the random +-1 vectors of its distinct tokens, in lower case. It is cut into four segments of 23
 bits. The perfect binary Golay code [23, 12, 7] has a codeword within distance 3 of any word, so two segments that differ in two bits or
 fewer both lie within distance 4 of the codeword nearest to a midpoint. A segment's keys are therefore all codewords within distance 4: one
 for the 277 syndromes of weight up to 2, six for the other 1771, 5.3 on average.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, mix, slices, utf8, words
+from .common import aside, back, cut, map_arrow, mix, named, slices, utf8, words
 from .graph import components
 
 DISTANCE, SEGMENTS, WIDTH, SEGMENTS_PER_KEY = 12, 4, 23, 2
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            low, high, count = fingerprint(*utf8(batch.column(2)))
+            low, high, count = fingerprint(*utf8(batch.column(2), lower=True))
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array(high)], ["doc_id", "tid", "low", "high"])
             yield out.filter(pa.array(count > 0))
 
@@ -224,12 +224,12 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, per_key: int
     repeats = found.where(same).groupBy("doc_id", "tid").count().where("count > 1")
     gone = cut(gone)
     side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    out = docs.join(side, docs["doc_id"].eqNullSafe(side["__doc"]) & (F.xxhash64(docs["text"]) == side["__tid"]), "left_anti")
+    doc, tid = F.col(named(docs, "doc_id")), F.xxhash64(named(docs, "text"))
+    out = aside(docs).join(side, doc.eqNullSafe(F.col("__doc")) & (tid == F.col("__tid")), "left_anti")
     if not repeats.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("doc_id", "__tid").orderBy(F.lit(0)))
-        again = repeats.select(F.col("doc_id").alias("__doc"), F.col("tid").alias("__again"), F.lit(True).alias("__more"))
-        marked = out.withColumn("__tid", F.xxhash64("text"))
-        marked = marked.join(again, marked["doc_id"].eqNullSafe(again["__doc"]) & (marked["__tid"] == again["__again"]), "left").drop("__doc", "__again")
-        alone, more = marked.where("__more IS NULL"), marked.where("__more").withColumn("__nth", nth).where("__nth = 1")
-        out = alone.select(*docs.columns).unionByName(more.select(*docs.columns))
-    return out
+        out = out.withColumn("tid", tid)
+        again = repeats.select(F.col("doc_id").alias("d"), F.col("tid").alias("t"), F.lit(True).alias("more"))
+        marked = out.join(again, doc.eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")), "left").drop("d", "t")
+        nth = F.row_number().over(Window.partitionBy(doc, "tid").orderBy(F.lit(0)))
+        out = marked.where("more IS NULL").unionByName(marked.where("more").withColumn("nth", nth).where("nth = 1").drop("nth"))
+    return back(out, docs)

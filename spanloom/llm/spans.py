@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import aside, back, named
+
 RUN_SENTENCES, MIN_CHARS = 3, 60
 _BLANK = " \n\r\t"
 
@@ -50,14 +52,15 @@ def repeats(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int
 
 
 def _shortened(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """docs with __text, __n, __removed, __first."""
-    side = found.select(F.col("doc_id").alias("__doc"), F.col("tid").alias("__tid"), F.col("runs").alias("__runs"), F.col("first_docs").alias("__first"))
-    out = docs.join(side, docs["doc_id"].eqNullSafe(side["__doc"]) & (F.xxhash64(docs["text"]) == side["__tid"]), how)
-    out = _once(out, __parts=pieces(F.col("text")), __cut=F.array_distinct(F.flatten(F.transform("__runs", lambda r: F.sequence(r["at"], r["upto"])))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__cut")
+    """aside(docs) with short, n, removed and first_docs."""
+    doc, text = F.col(named(docs, "doc_id")), F.col(named(docs, "text"))
+    side = found.withColumnsRenamed({"doc_id": "d", "tid": "t"})
+    out = aside(docs).join(side, doc.eqNullSafe(F.col("d")) & (F.xxhash64(text) == F.col("t")), how)
+    out = _once(out, parts=pieces(text), cut=F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["upto"])))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "cut")
     filled = lambda s: _trim(s) != ""
-    out = _once(out, __text=F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.concat_ws("", F.transform(kept, lambda k: F.get("__parts", k)))), __n=F.size(F.filter("__parts", filled)))
-    return out.withColumn("__removed", F.coalesce(F.size(F.filter(F.transform("__cut", lambda k: F.get("__parts", k)), filled)), F.lit(0)))
+    out = _once(out, short=F.when(F.col("cut").isNull(), text).otherwise(F.concat_ws("", F.transform(kept, lambda k: F.get("parts", k)))), n=F.size(F.filter("parts", filled)))
+    return out.withColumn("removed", F.coalesce(F.size(F.filter(F.transform("cut", lambda k: F.get("parts", k)), filled)), F.lit(0)))
 
 
 def shortened(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -69,13 +72,13 @@ def shortened(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: in
     """
     rows = docs.select("doc_id", "text")
     out = _shortened(rows, repeats(rows, run_sentences, min_chars), "inner")
-    return out.select("doc_id", F.col("__first").alias("first_docs"), F.col("__n").alias("n_sentences"), F.col("__removed").alias("n_removed"), F.col("__text").alias("text"))
+    return out.select(F.col("__c0").alias("doc_id"), "first_docs", F.col("n").alias("n_sentences"), F.col("removed").alias("n_removed"), F.col("short").alias("text"))
 
 
 def deduplicate(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs, all rows and columns, each text without its repeated sentences."""
     out = _shortened(docs, repeats(docs, run_sentences, min_chars), "left")
-    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return back(out, docs, text=F.col("short"))
 
 
 def oracle(run: int = RUN_SENTENCES, min_chars: int = MIN_CHARS) -> str:
