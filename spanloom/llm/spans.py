@@ -1,7 +1,7 @@
 """Substring dedup over sliding spans of sentences.
 
-Every run of `run_sentences` consecutive sentences is hashed; equal hashes meet in one shuffle; of each hash the first occurrence, by document
-and place, stays, and every sentence that any later occurrence covers is removed.
+From every sentence on, the shortest run of at least `run_sentences` sentences and `min_chars` characters is hashed; equal hashes meet in one
+shuffle; of each hash the first occurrence, by document and place, stays, and every sentence that any later occurrence covers is removed.
 
 Scale: the shuffle carries four numbers a sentence, never text. Later occurrences are those with row_number > 1, a running window that holds no
 group in memory, however many documents share a span. The texts move once more, only to lose their sentences.
@@ -38,9 +38,22 @@ def _spans(docs: DataFrame, run: int, min_chars: int) -> DataFrame:
     """(h, doc_id, tid, at, upto): a row for each run of sentences, with the first and the last piece it covers."""
     cut = _once(docs.select("doc_id", F.xxhash64("text").alias("tid"), pieces(F.col("text")).alias("parts")).where("parts IS NOT NULL"), said=F.filter(F.transform("parts", lambda s, k: F.struct(k.alias("k"), _trim(s).alias("s"))), lambda x: x["s"] != ""))
     starts = F.when(F.size("said") >= run, F.sequence(F.lit(1), F.size("said") - run + 1))
-    spans = cut.select("doc_id", "tid", "said", F.explode(starts).alias("i")).select("doc_id", "tid", F.slice("said", F.col("i"), F.lit(run)).alias("own"))
-    spans = _once(spans.select("doc_id", "tid", F.col("own")[0]["k"].alias("at"), F.col("own")[run - 1]["k"].alias("upto"), F.col("own.s").alias("s")), n=F.length(F.concat_ws("", "s")))
-    return spans.where(F.col("n") >= min_chars).select(F.xxhash64("s").alias("h"), "doc_id", "tid", "at", "upto")
+    spans = _once(cut.select("doc_id", "tid", "said", F.explode(starts).alias("i")).select("doc_id", "tid", F.slice("said", F.col("i"), F.lit(max(run, min_chars))).alias("own")), n=_reach(F.col("own"), run, min_chars))
+    spans = spans.where("n IS NOT NULL").select("doc_id", "tid", F.slice("own", F.lit(1), F.col("n")).alias("own"))
+    return spans.select(F.xxhash64("own.s").alias("h"), "doc_id", "tid", F.col("own")[0]["k"].alias("at"), F.element_at("own", -1)["k"].alias("upto"))
+
+
+def _reach(own: Column, run: int, min_chars: int) -> Column:
+    """How many of the sentences make a run; null if all are too short. A sentence has a character at least, so min_chars of them always do."""
+    count = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + F.length(x["s"]))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"))
+
+    def step(acc: Column, x: Column) -> Column:
+        done = (acc["n"] >= run) & (acc["chars"] >= min_chars)
+        return F.struct(F.when(done, acc["n"]).otherwise(acc["n"] + 1).alias("n"), F.when(done, acc["chars"]).otherwise(acc["chars"] + F.length(x["s"])).alias("chars"))
+
+    longer = F.aggregate(own, start, step, lambda acc: F.when((acc["n"] >= run) & (acc["chars"] >= min_chars), acc["n"]))
+    return F.when(count(F.slice(own, F.lit(1), F.lit(run))) >= min_chars, F.lit(run)).otherwise(longer)
 
 
 def repeats(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -66,7 +79,7 @@ def _shortened(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 def shortened(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, first_docs, n_sentences, n_removed, text) of each document that loses sentences.
 
-    Runs of fewer than min_chars characters don't count: two documents may well share three words that are sentences. A document of fewer
+    A run has min_chars characters at least: two documents may well share three words that are sentences. A document of fewer
     sentences than a run, a null and an empty text lose nothing. Occurrences are ordered by doc_id, nulls last, then by a hash of the text, then by
     place; rows that repeat id and text are one document and lose the same. A text can become empty. An empty table gives no rows.
     """
@@ -90,11 +103,14 @@ def oracle(run: int = RUN_SENTENCES, min_chars: int = MIN_CHARS) -> str:
     return f"""
 WITH cut AS (SELECT doc_id, text, string_split({cut}, chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
 piece AS (SELECT doc_id, text, k - 1 AS k, parts[k] AS raw, trim(parts[k], {chars}) AS s FROM cut, generate_series(1, len(parts)) AS g(k)),
-said AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY k) AS nth, count(*) OVER (PARTITION BY doc_id, text) AS n FROM piece WHERE s <> ''),
-span AS (
-  SELECT doc_id, text, k AS begin_, lead(k, {run - 1}) OVER w AS end_, list(s) OVER (PARTITION BY doc_id, text ORDER BY k ROWS BETWEEN CURRENT ROW AND {run - 1} FOLLOWING) AS own
-  FROM said WINDOW w AS (PARTITION BY doc_id, text ORDER BY k)),
-long AS (SELECT doc_id, text, begin_, end_, own FROM span WHERE end_ IS NOT NULL AND length(array_to_string(own, '')) >= {min_chars}),
+said AS (SELECT *, row_number() OVER w AS nth, sum(length(s)) OVER w AS upto_chars FROM piece WHERE s <> '' WINDOW w AS (PARTITION BY doc_id, text ORDER BY k)),
+reach AS (
+  SELECT a.doc_id, a.text, a.nth, a.k AS begin_, min(b.nth) AS last_
+  FROM said a JOIN said b ON a.doc_id = b.doc_id AND a.text = b.text AND b.nth BETWEEN a.nth + {run - 1} AND a.nth + {max(run, min_chars) - 1} AND b.upto_chars - a.upto_chars + length(a.s) >= {min_chars}
+  GROUP BY ALL),
+long AS (
+  SELECT r.doc_id AS doc_id, r.text AS text, begin_, max(b.k) AS end_, list(b.s ORDER BY b.nth) AS own
+  FROM reach r JOIN said b ON r.doc_id = b.doc_id AND r.text = b.text AND b.nth BETWEEN r.nth AND r.last_ GROUP BY r.doc_id, r.text, r.nth, begin_),
 ranked AS (SELECT *, row_number() OVER o AS nth, first(doc_id) OVER o AS first_doc FROM long WINDOW o AS (PARTITION BY own ORDER BY doc_id NULLS LAST, begin_)),
 later AS (SELECT doc_id, text, begin_, end_, first_doc FROM ranked WHERE nth > 1),
 gone AS (SELECT DISTINCT l.doc_id, l.text, k FROM later l, generate_series(l.begin_, l.end_) AS g(k)),

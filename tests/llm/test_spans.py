@@ -16,11 +16,12 @@ def brute(docs, run, least):
         said = [(k, s.strip(" \n\r\t")) for k, s in enumerate(parts) if s.strip(" \n\r\t")]
         gone = set()
         for i in range(len(said) - run + 1):
-            own = tuple(s for _, s in said[i : i + run])
-            if sum(map(len, own)) < least:
+            end = next((j for j in range(i + run, len(said) + 1) if sum(len(s) for _, s in said[i:j]) >= least), None)
+            if end is None:
                 continue
+            own = tuple(s for _, s in said[i:end])
             if own in seen:
-                gone |= set(range(said[i][0], said[i + run - 1][0] + 1))
+                gone |= set(range(said[i][0], said[end - 1][0] + 1))
             seen.add(own)
         if gone:
             out[d] = "".join(s for k, s in enumerate(parts) if k not in gone)
@@ -35,7 +36,7 @@ def test_against_loops(spark, make_docs, rng):
         for s in rng.sample(shared, rng.randint(0, 2)):
             parts.insert(rng.randint(0, 3), s)
         texts.append(rng.choice(["\n", " ", "\n\n "]).join(parts))
-    texts += ["Ha! No? So.\nHa! No? So.", texts[5], sentences(rng, 3000) + " " + shared[4]]
+    texts += ["Ha! No? So.\nHa! No? So.", "A! " * 90, "WE! ARE! LOUD! " * 12, "WE! ARE! LOUD! " * 11, texts[5], sentences(rng, 3000) + " " + shared[4]]
     for run, least in ((3, 60), (2, 0)):
         want = brute(list(enumerate(texts)), run, least)
         got = {r.doc_id: r.text for r in spans.shortened(make_docs(texts).repartition(4), run, least).collect()}
