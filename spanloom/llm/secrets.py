@@ -26,7 +26,7 @@ from .common import map_arrow, slices, utf8
 
 RULES = {
     "access_key_id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "assigned_secret": r"""\b(?:token|secret|api_key|password)\s{0,3}[=:]\s{0,3}"[0-9A-Za-z_+/=-]{16,100}\"""",
+    "assigned_secret": r"""(?i)\b(?:token|secret|api_key|password)\s{0,3}[=:]\s{0,3}(?:"[0-9a-z_+/=-]{16,100}"|'[0-9a-z_+/=-]{16,100}'|[0-9a-z_+/=-]{16,100}(?![0-9a-z_+/=-]*["']))""",
     "chat_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,72}",
     "cloud_api_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "forge_token": r"\bgh[pousr]_[0-9A-Za-z]{36}",
@@ -34,6 +34,11 @@ RULES = {
     "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH |)PRIVATE KEY-----",
     "signed_web_token": r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
     "url_password": r"\b[a-z]{2,12}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@",
+    "hex_digest_key": r"\b[0-9a-fA-F]{40}\b",
+}
+#: The rules of the SQL form, which has no upper-case, unquoted or single-quoted secrets of these two.
+SQL_RULES = RULES | {
+    "assigned_secret": r"""\b(?:token|secret|api_key|password)\s{0,3}[=:]\s{0,3}"[0-9A-Za-z_+/=-]{16,100}\"""",
     "hex_digest_key": r"\b[0-9a-f]{40}\b",
 }
 
@@ -228,8 +233,8 @@ def secrets(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
 
 
 def oracle(rules: dict[str, str] | None = None) -> str:
-    """DuckDB SQL for op3_secrets: every rule over every text."""
-    each = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS rule, regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}') AS found FROM documents" for name, p in (RULES if rules is None else rules).items())
+    """DuckDB SQL for op3_secrets: every rule over every text. Without rules it is that of SQL_RULES, so its rows are some of the query's."""
+    each = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS rule, regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}') AS found FROM documents" for name, p in (SQL_RULES if rules is None else rules).items())
     return f"""
 SELECT doc_id, rule, CAST(k - 1 AS BIGINT) AS occurrence, CAST(length(found[k]) AS BIGINT) AS n_chars, sha256(found[k]) AS sha256
 FROM ({each}), generate_series(1, len(found)) AS g(k)

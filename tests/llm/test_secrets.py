@@ -69,3 +69,11 @@ def test_edges(spark, make_docs):
     got = sorted(((r.doc_id, r.occurrence) for r in secrets.secrets(docs).collect()), key=str)
     assert got == sorted([(None, 0), (1, 0), (1, 0), (5, 0)], key=str)
     assert secrets.secrets(docs.limit(0)).count() == 0 and secrets.secrets(docs, rules={}).count() == 0
+
+
+def test_case_and_quotes(spark, make_docs):
+    value = "9233A8EC" * 5
+    forms = [f'TOKEN = "{value}"', f"API_KEY={value}", f"Password: '{value.lower()}'", f'token="{value[:20]}"', f"export SECRET='{value[:16]}'\n", f'token=long-enough-a-name-secret="{value[:20]}"']
+    got = {(r.doc_id, r.rule, r.n_chars) for r in secrets.secrets(make_docs([*forms, "TOKEN=short", "token: 'no end of quote0", value + "0"])).collect()}
+    want = {(0, "assigned_secret", 50), (1, "assigned_secret", 48), (2, "assigned_secret", 52), (3, "assigned_secret", 28), (4, "assigned_secret", 25), (5, "assigned_secret", 29)}
+    assert got == want | {(k, "hex_digest_key", 40) for k in (0, 1, 2)}
