@@ -1,9 +1,9 @@
 """Substring dedup over sliding spans of sentences.
 
-From every sentence on, the shortest run of at least `run_sentences` sentences and `min_chars` characters is hashed; equal hashes meet in one
-shuffle; of each hash the first occurrence, by document and place, stays, and every sentence that any later occurrence covers is removed.
+From every sentence on, the shortest run of at least `run_sentences` sentences and `min_chars` characters is hashed, and so is every shorter run of
+`min_words` words, so that a passage of few but long sentences counts; equal hashes meet in one shuffle; of each hash the first occurrence, by document and place, stays, and every sentence that any later occurrence covers is removed.
 
-Scale: the shuffle carries four numbers a sentence, never text. Later occurrences are those with row_number > 1, a running window that holds no
+Scale: the shuffle carries five numbers a run, about one run a sentence, never text. Later occurrences are those with row_number > 1, a running window that holds no
 group in memory, however many documents share a span. The texts move once more, only to lose their sentences.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import aside, back, named
 
-RUN_SENTENCES, MIN_CHARS = 3, 60
+RUN_SENTENCES, MIN_CHARS, MIN_WORDS = 3, 60, 20
 _BLANK = " \n\r\t"
 
 
@@ -34,15 +34,31 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def _spans(docs: DataFrame, run: int, min_chars: int) -> DataFrame:
+def _spans(docs: DataFrame, run: int, min_chars: int, min_words: int) -> DataFrame:
     """(h, doc_id, tid, at, upto): a row for each run of sentences, with the first and the last piece it covers."""
-    cut = _once(docs.select("doc_id", F.xxhash64("text").alias("tid"), pieces(F.col("text")).alias("parts")).where("parts IS NOT NULL"), said=F.filter(F.transform("parts", lambda s, k: F.struct(k.alias("k"), _trim(s).alias("s"))), lambda x: x["s"] != ""))
-    starts = F.when(F.size("said") >= run, F.sequence(F.lit(1), F.size("said") - run + 1))
-    spans = _once(cut.select("doc_id", "tid", "said", F.explode(starts).alias("i")).select("doc_id", "tid", F.slice("said", F.col("i"), F.lit(max(run, min_chars))).alias("own")), n=_reach(F.col("own"), run, min_chars))
-    spans = spans.where("n IS NOT NULL").select("doc_id", "tid", F.slice("own", F.lit(1), F.col("n")).alias("own"))
+    sentence = lambda s, k: F.struct(k.alias("k"), _trim(s).alias("s"), F.size(F.split(_trim(s), r"\s+")).alias("w"))
+    cut = _once(docs.select("doc_id", F.xxhash64("text").alias("tid"), pieces(F.col("text")).alias("parts")).where("parts IS NOT NULL"), said=F.filter(F.transform("parts", sentence), lambda x: x["s"] != ""))
+    starts = F.when(F.size("said") > 0, F.sequence(F.lit(1), F.size("said")))
+    own = cut.select("doc_id", "tid", "said", F.explode(starts).alias("i")).select("doc_id", "tid", F.slice("said", F.col("i"), F.lit(max(run, min_chars))).alias("own"))
+    spans = _once(own, n=F.when(F.size("own") >= run, _reach(F.col("own"), run, min_chars)))
+    spans = spans.select("doc_id", "tid", "own", F.explode(_lengths(F.col("own"), F.col("n"), run, min_words)).alias("n"))
+    spans = spans.select("doc_id", "tid", F.slice("own", F.lit(1), F.col("n")).alias("own"))
     return spans.select(F.xxhash64("own.s").alias("h"), "doc_id", "tid", F.col("own")[0]["k"].alias("at"), F.element_at("own", -1)["k"].alias("upto"))
 
 
+def _lengths(own: Column, n: Column, run: int, min_words: int) -> Column:
+    """The lengths of the runs that begin here: n, and each of fewer than `run` sentences that has min_words. Two runs that cover a longer one
+    between them stand for it: where that one is repeated, so are they."""
+
+    def worth(first: int, length: int) -> Column:
+        words = sum((F.get(own, F.lit(k))["w"] for k in range(first, first + length)), F.lit(0))
+        return F.coalesce(words >= min_words, F.lit(False)) if length else F.lit(False)
+
+    covered = lambda length: worth(0, length - 1) & worth(1, length - 1)
+    short = [F.when(worth(0, k) & ~covered(k), F.lit(k)) for k in range(1, run)]
+    return F.array_compact(F.array(*short, F.when(~((n == run) & covered(run)), n)))
+
+
 def _reach(own: Column, run: int, min_chars: int) -> Column:
     """How many of the sentences make a run; null if all are too short. A sentence has a character at least, so min_chars of them always do."""
     count = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + F.length(x["s"]))
@@ -56,10 +72,10 @@ def _reach(own: Column, run: int, min_chars: int) -> Column:
     return F.when(count(F.slice(own, F.lit(1), F.lit(run))) >= min_chars, F.lit(run)).otherwise(longer)
 
 
-def repeats(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeats(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, tid, runs, first_docs): for each document with a later occurrence, its repeated runs, and whose they repeat."""
     order = Window.partitionBy("h").orderBy(F.col("doc_id").asc_nulls_last(), "tid", "at")
-    first = _spans(docs, run_sentences, min_chars).select("*", F.row_number().over(order).alias("nth"), F.first(F.struct("doc_id", "tid", "at")).over(order).alias("first"))
+    first = _spans(docs, run_sentences, min_chars, min_words).select("*", F.row_number().over(order).alias("nth"), F.first(F.struct("doc_id", "tid", "at")).over(order).alias("first"))
     later = first.where((F.col("nth") > 1) & ~F.struct("doc_id", "tid", "at").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("at", "upto")).alias("runs"), F.array_sort(F.collect_set("first.doc_id")).alias("first_docs"))
 
@@ -76,26 +92,26 @@ def _shortened(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return out.withColumn("removed", F.coalesce(F.size(F.filter(F.transform("cut", lambda k: F.get("parts", k)), filled)), F.lit(0)))
 
 
-def shortened(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int = MIN_CHARS) -> DataFrame:
+def shortened(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, first_docs, n_sentences, n_removed, text) of each document that loses sentences.
 
-    A run has min_chars characters at least: two documents may well share three words that are sentences. A document of fewer
-    sentences than a run, a null and an empty text lose nothing. Occurrences are ordered by doc_id, nulls last, then by a hash of the text, then by
+    A run has min_chars characters at least: two documents may well share three words that are sentences. A run of fewer than run_sentences
+    sentences has min_words words, apart by white space, at least. A document without a run, a null and an empty text lose nothing. Occurrences are ordered by doc_id, nulls last, then by a hash of the text, then by
     place; rows that repeat id and text are one document and lose the same. A text can become empty. An empty table gives no rows.
     """
     rows = docs.select("doc_id", "text")
-    out = _shortened(rows, repeats(rows, run_sentences, min_chars), "inner")
+    out = _shortened(rows, repeats(rows, run_sentences, min_chars, min_words), "inner")
     return out.select(F.col("__c0").alias("doc_id"), "first_docs", F.col("n").alias("n_sentences"), F.col("removed").alias("n_removed"), F.col("short").alias("text"))
 
 
-def deduplicate(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicate(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """docs, all rows and columns, each text without its repeated sentences."""
-    out = _shortened(docs, repeats(docs, run_sentences, min_chars), "left")
+    out = _shortened(docs, repeats(docs, run_sentences, min_chars, min_words), "left")
     return back(out, docs, text=F.col("short"))
 
 
 def oracle(run: int = RUN_SENTENCES, min_chars: int = MIN_CHARS) -> str:
-    """DuckDB SQL for op9_sentence_spans."""
+    """DuckDB SQL for op9_sentence_spans, without the runs of min_words: it removes some of what the query does."""
     cut = "text"
     for end in ("'. '", "'! '", "'? '", "chr(10)"):
         cut = f"replace({cut}, {end}, {end} || chr(1))"

@@ -1,5 +1,5 @@
 from spanloom.llm import spans
-from tests.llm.conftest import sentences
+from tests.llm.conftest import sentences, words
 
 
 def brute(docs, run, least):
@@ -53,3 +53,26 @@ def test_edges(spark, make_docs, rng):
     out = spans.deduplicate(docs)
     assert out.columns == docs.columns and out.count() == 8 and out.where("text IS NULL").count() == 1
     assert spans.shortened(docs.limit(0)).count() == 0 and spans.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_few_long_sentences(spark, make_docs, rng):
+    one, two, short = sentences(rng, 1, 55), sentences(rng, 2, 26), sentences(rng, 2, 9)
+    mixed = " ".join([sentences(rng, 1, 21), sentences(rng, 1, 4), sentences(rng, 1, 21)])
+    split = [" ".join([sentences(rng, 1, 12), sentences(rng, 1, 12)]), words(rng, 16)]
+    shared = [one, two, mixed, short]
+    texts = [f"{sentences(rng, 2)} {s} {sentences(rng, 2)}" for s in shared for _ in range(2)] + [one] * 2 + [f"{words(rng, 3)} {split[1]}. {split[0]} {split[1]} {words(rng, 3)}." for _ in range(2)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.shortened(make_docs(texts)).collect()}
+    want = {2 * k + 1: (texts[2 * k + 1].replace(s + " ", ""), n) for k, (s, n) in enumerate(zip(shared[:3], (1, 2, 3)))}
+    assert got == want | {8: ("", 1), 9: ("", 1), 11: (texts[11].replace(split[0] + " ", ""), 2)}
+
+
+def test_recall_of_long_passages(spark, make_docs, rng):
+    """Of passages over 50 words, only those whose whole sentences are neither three nor of 20 words stay."""
+    texts, whole = [], []
+    for _ in range(60):
+        inner = [rng.randint(5, 24) for _ in range(rng.randint(1, 4))]
+        passage = f"{words(rng, 25)}. {' '.join(sentences(rng, 1, n) for n in inner)} {words(rng, 25)}"
+        texts += [f"{words(rng, 4)} {passage} {words(rng, 4)}." for _ in range(2)]
+        whole.append(len(inner) >= 3 or sum(inner) >= 20)
+    found = {r.doc_id for r in spans.shortened(make_docs(texts)).collect()}
+    assert found == {2 * k + 1 for k, w in enumerate(whole) if w} and 30 < sum(whole) < 60
