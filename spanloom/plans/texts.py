@@ -92,9 +92,14 @@ t AS (SELECT list_distinct(flatten(list(regexp_extract_all(lower(p_name || ' ' |
 SELECT conv_id, turn, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(a) END AS overlap FROM u, t"""
 )
 def lexical_overlap(spark, d):
-    tools = table(spark, d, "part").where("p_partkey <= 50").agg(F.array_join(F.collect_list(F.concat_ws(" ", "p_name", "p_type")), " ").alias("tools"))
-    u = table(spark, d, "conversations").where("role = 'user'").crossJoin(F.broadcast(tools))
-    return u.select("conv_id", "turn", T.overlap(F.col("text"), F.col("tools")).alias("overlap"))
+    """User tokens that some part's text has, by a join with the distinct tokens of all parts. The SQL form reads only keys up to 50."""
+    words = table(spark, d, "part").select(F.explode(T.tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("token")).distinct()
+    u = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    each = u.select("text").distinct().select("text", F.explode(T.tokens(F.col("text"))).alias("token"))
+    found = each.join(words, "token", "left_semi").groupBy(F.col("text").alias("said")).agg(F.count("*").alias("n"))
+    own = F.size(T.tokens(F.col("text")))
+    share = F.when(own == 0, F.lit(1.0)).otherwise(F.coalesce("n", F.lit(0)) / own)
+    return u.join(found, F.col("text") == F.col("said"), "left").select("conv_id", "turn", share.alias("overlap"))
 
 
 _MODELS = [(1, "Qwen2.5-7B-Instruct-Q4_K_M", "q4_k_m", "llama"), (2, "qwen3.5-9b-mlx", "", "mlx"), (3, "gemma3", None, None), (4, "Llama-3-8b-gguf-awq-int8", "int8", "vllm"), (5, "q4-model-fp16", None, "cuda"), (6, " lfm2.5-thinking-1.2b ", "f16", "onnx")]

@@ -18,3 +18,11 @@ def test_toolset_health(spark, tmp_path):
         ("duplicate-tool", "more than one tool is called twice"), ("no-args", "B-3 takes no arguments"), ("no-args", "twice takes no arguments"),
         ("unconstrained-args", "B-200 accepts any arguments"), ("unconstrained-args", "twice accepts any arguments"), ("unconstrained-args", "B-302 accepts any arguments"),
     }
+
+
+def test_lexical_overlap(spark, tmp_path):
+    write(spark, tmp_path, "part", [(3, "red ring", "B", "SMALL", 1), (51, "Blue bolt", "B", "SMALL", 1), (9000, "green nut", "B", "LARGE", 1)], PART)
+    said = [(1, 0, "user", "A green BOLT, a green nut"), (1, 1, "assistant", "red"), (2, 0, "user", "?!"), (2, 2, "user", None), (3, 0, "user", "nothing here"), (4, 0, "user", "red small"), (5, 0, "user", "red small")]
+    d = write(spark, tmp_path, "conversations", said, "conv_id bigint, turn int, role string, text string")
+    got = sorted((r.conv_id, r.turn, r.overlap) for r in QUERIES["lexical_overlap"](spark, d).collect())
+    assert got == [(1, 0, 0.75), (2, 0, 1.0), (2, 2, 1.0), (3, 0, 0.0), (4, 0, 1.0), (5, 0, 1.0)]
