@@ -202,9 +202,12 @@ def trend_ladder(spark, d):
 _CAPS = ("tool_selection", "tool_discrimination", "needle_in_tools", "tool_permission", "no_hallucinated_tool", "arg_validity", "required_args", "arity_robustness", "structured_output")
 
 
-def _part_tools(spark, d, n):
+def _part_tools(spark, d):
+    """A tool for each distinct name of a part, as the last part of that name has it; every twentieth part is called `twice`."""
     kinds = {0: {}, 1: {"type": "object", "properties": {"size": {"type": "integer"}}, "required": ["size"]}, 2: {"type": "object", "properties": {"note": {"description": "anything"}}}}
-    return [{"type": "function", "function": {"name": r.p_name if k % 20 else "twice", "description": f"Handles {r.p_type}.", "parameters": kinds[r.p_size % 3]}} for k, r in enumerate(table(spark, d, "part").where(F.col("p_partkey") <= n).select("p_name", "p_type", "p_size", "p_partkey").orderBy("p_partkey").collect())]
+    name = F.when(F.col("p_partkey") % 20 == 0, "twice").otherwise(F.col("p_name"))
+    last = table(spark, d, "part").groupBy(name.alias("name")).agg(F.max_by(F.struct("p_type", "p_size"), "p_partkey").alias("p"))
+    return [{"type": "function", "function": {"name": r.name, "description": f"Handles {r.p_type}.", "parameters": kinds[r.p_size % 3]}} for r in last.select("name", "p.*").orderBy("name").collect()]
 
 
 @query(
@@ -249,8 +252,7 @@ def sim_pass_selection(spark, d):
 @query()
 def simulated_scorecard(spark, d):
     """Derive, simulate, score and aggregate. The check texts are ours, so there is no SQL form; tests hold every rate against the profile."""
-    tools = [t for t in {t["function"]["name"]: t for t in _part_tools(spark, d, 30)}.values()]
-    battery = probes.derive(spark, tools)
+    battery = probes.derive(spark, _part_tools(spark, d))
     rates = spark.createDataFrame([("tool_selection", 0.67), ("arg_validity", 0.5), ("tool_restraint", 0.34)], "capability string, rate double")
     scored = scoring.score(simulate.respond(simulate.passing(battery, rates)))
     samples = scored.select(F.col("id").alias("probe_id"), "capability", F.lit(0).alias("sample_no"), "score", F.lit(None).cast("string").alias("error"))

@@ -26,3 +26,14 @@ def test_lexical_overlap(spark, tmp_path):
     d = write(spark, tmp_path, "conversations", said, "conv_id bigint, turn int, role string, text string")
     got = sorted((r.conv_id, r.turn, r.overlap) for r in QUERIES["lexical_overlap"](spark, d).collect())
     assert got == [(1, 0, 0.75), (2, 0, 1.0), (2, 2, 1.0), (3, 0, 0.0), (4, 0, 1.0), (5, 0, 1.0)]
+
+
+def test_simulated_scorecard(spark, tmp_path):
+    from spanloom.plans import scorecards
+
+    d = write(spark, tmp_path, "part", [(k, f"n{k % 50}", "B", "old" if k < 100 else "new", 1) for k in range(200)], PART)
+    tools = [t["function"] for t in scorecards._part_tools(spark, d)]
+    names = {"twice"} | {f"n{k % 50}" for k in range(200) if k % 20}
+    assert len(tools) == len(names) and {t["name"] for t in tools} == names and {t["description"] for t in tools} == {"Handles new."}
+    scores = {r.capability: r.score for r in QUERIES["simulated_scorecard"](spark, d).collect()}
+    assert len(scores) == 11 and scores["tool_selection"] == round(int(0.67 * len(names) + 0.5) / len(names), 4)
