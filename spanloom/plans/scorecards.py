@@ -110,12 +110,14 @@ _DAYS = _SAMPLES.replace("FROM events)", "FROM events WHERE day(ts) = 3)")
 
 @query(f"WITH {_DAYS} SELECT capability, count(*) FILTER (error IS NOT NULL) AS errored, count(*) AS total FROM rates WHERE capability IN ('tool_restraint', 'tool_permission') GROUP BY 1 HAVING count(*) FILTER (error IS NOT NULL) > 0")
 def error_derived_negatives(spark, d):
-    return scoring.error_negatives(scoring.pass_rates(_samples(spark, d).where(F.dayofmonth("ts") == 3)))
+    """Over all events; the SQL form reads one day of a month."""
+    return scoring.error_negatives(scoring.pass_rates(_samples(spark, d)))
 
 
 @query(f"WITH {_DAYS} SELECT coalesce(bool_and(error IS NOT NULL), false) AS all_errored FROM rates")
 def all_errored_guard(spark, d):
-    r = scoring.pass_rates(_samples(spark, d).where(F.dayofmonth("ts") == 3))
+    """Over all events; the SQL form reads one day of a month."""
+    r = scoring.pass_rates(_samples(spark, d))
     return r.agg(F.coalesce(F.bool_and(F.coalesce(F.col("error") != "", F.lit(False))), F.lit(False)).alias("all_errored"))
 
 

@@ -37,3 +37,15 @@ def test_simulated_scorecard(spark, tmp_path):
     assert len(tools) == len(names) and {t["name"] for t in tools} == names and {t["description"] for t in tools} == {"Handles new."}
     scores = {r.capability: r.score for r in QUERIES["simulated_scorecard"](spark, d).collect()}
     assert len(scores) == 11 and scores["tool_selection"] == round(int(0.67 * len(names) + 0.5) / len(names), 4)
+
+
+def test_errored_over_all_days(spark, tmp_path):
+    from datetime import datetime
+
+    def events(folder, rows):
+        return write(spark, folder, "events", [(k, u, kind, '{"k": 1}', datetime(2024, 1, day)) for k, (u, kind, day) in enumerate(rows)], "event_id bigint, user_id bigint, event_type string, props string, ts timestamp")
+
+    d = events(tmp_path / "a", [(1, "error", 2), (1, "error", 9), (3, "error", 3), (3, "view", 5), (6, "view", 20), (2, "error", 8)])
+    assert {tuple(r) for r in QUERIES["error_derived_negatives"](spark, d).collect()} == {("tool_restraint", 1, 2)}
+    verdicts = [(d, False), (events(tmp_path / "b", [(1, "error", 3), (2, "view", 4)]), False), (events(tmp_path / "c", [(1, "error", 4)]), True)]
+    assert all(QUERIES["all_errored_guard"](spark, x).first()[0] is want for x, want in verdicts)
