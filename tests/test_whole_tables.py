@@ -49,3 +49,13 @@ def test_errored_over_all_days(spark, tmp_path):
     assert {tuple(r) for r in QUERIES["error_derived_negatives"](spark, d).collect()} == {("tool_restraint", 1, 2)}
     verdicts = [(d, False), (events(tmp_path / "b", [(1, "error", 3), (2, "view", 4)]), False), (events(tmp_path / "c", [(1, "error", 4)]), True)]
     assert all(QUERIES["all_errored_guard"](spark, x).first()[0] is want for x, want in verdicts)
+
+
+def test_trend_ladder(spark, tmp_path):
+    from datetime import date
+
+    lines = [(1992, 6, 0.05), (1992, 6, 0.01), (1994, 6, 0.05), (1998, 6, 0.01), (1993, 5, 0.05), (1998, 5, 0.05), (1995, 7, 0.01)]
+    rows = [(key, n, "A", "F", date(year, 5, 1), discount) for year, n, discount in lines for key in range(3)]
+    d = write(spark, tmp_path, "lineitem", [*rows, (0, 7, "A", "F", date(1996, 5, 1), 0.05), (1, 7, "A", "F", date(1996, 5, 1), 0.01), (2, 7, "A", "F", date(1996, 5, 1), 0.01)], "l_orderkey bigint, l_linenumber int, l_returnflag string, l_linestatus string, l_shipdate date, l_discount double")
+    got = {r.capability: (r.ladder, r.status) for r in QUERIES["trend_ladder"](spark, d).collect()}
+    assert got == {"AF6": ("5000 - 10000 - - - 0", "regressed"), "AF5": ("- 10000 - - - - 10000", "stable"), "AF7": ("- - - 0 3333 - -", "removed")}
