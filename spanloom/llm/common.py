@@ -78,7 +78,7 @@ _GRAPH = np.ones(256, bool)
 _GRAPH[[*range(9, 14), *range(28, 33)]] = False
 
 
-def powers(base: int, n: int) -> np.ndarray:
+def powers(n: int, base: int = _BASE) -> np.ndarray:
     """base ** i modulo 2 ** 64 for i < n at least."""
     have = _pows.get(base)
     if have is None or len(have) < n:
@@ -89,6 +89,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have
 
 
+def unpowers(n: int) -> np.ndarray:
+    """The inverses of powers(n)."""
+    return powers(n, _UNBASE)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, a bijection of 64-bit words."""
     x = x ^ (x >> np.uint64(30))
@@ -149,8 +154,8 @@ def words(buf: np.ndarray, offs: np.ndarray, letters: bool = True) -> tuple[np.n
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n)[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * powers(_UNBASE, n)[starts])
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(n)[:n], out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * unpowers(n)[starts])
     return hashes, np.searchsorted(starts, offs), starts, ends
 
 
@@ -160,8 +165,8 @@ def grams(hashes: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     n = len(hashes)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * powers(_UNBASE, n)[:n], out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * powers(_BASE, n)[: n - width + 1])
+    np.cumsum(hashes * unpowers(n)[:n], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * powers(n)[: n - width + 1])
 
 
 def whole(first: np.ndarray, width: int, n: int) -> np.ndarray:

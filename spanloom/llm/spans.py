@@ -1,138 +1,218 @@
 """Substring dedup over sliding spans of sentences.
 
-From every sentence on, the shortest run of at least `run_sentences` sentences and `min_chars` characters is hashed, and so is every shorter run of
-`min_words` words, so that a passage of few but long sentences counts; equal hashes meet in one shuffle; of each hash the first occurrence, by document and place, stays, and every sentence that any later occurrence covers is removed.
+A text is cut after the marks . ! ? ; : , that a blank follows, after their wide forms, and after line ends: that is sentences, and the clauses of
+long ones, as a passage that was pasted into a text seldom begins and ends with one of its sentences. A blank piece goes with the one before. Every run of consecutive pieces with
+`min_chars` characters or more, blanks at their ends not counted, is a span. Of equal spans the first, by document and place, stays; every piece
+that a later one covers is removed.
 
-Scale: the shuffle carries five numbers a run, about one run a sentence, never text. Later occurrences are those with row_number > 1, a running window that holds no
-group in memory, however many documents share a span. The texts move once more, only to lose their sentences.
+Not every run need be hashed. From each piece on the shortest run that is long enough, and up to each piece the shortest, suffice: a repeated run
+is covered by such runs inside it, and they are repeated with it. That is two rows a piece at most, often one.
+
+Scale: a task first drops, among so many runs as `CHUNK_RUNS`, those that an earlier one of the same chunk equals: they can't be the first anywhere, and
+leave as merged stretches of their document. So a span that a third of all documents share sends a row a chunk to the shuffle, where a running
+window over each hash finds the first. Five numbers a run are shuffled, never text; the texts move once more, only to lose their pieces.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, back, named
+from .common import aside, back, map_arrow, mix, named, powers, slices, unpowers, utf8
 
-RUN_SENTENCES, MIN_CHARS, MIN_WORDS = 3, 60, 20
+MIN_CHARS, CHUNK_RUNS = 120, 1 << 20
+MARKS = ".!?;:,"
+WIDE = "。！？；：，、"
 _BLANK = " \n\r\t"
 
-
-def pieces(text: Column) -> Column:
-    """The text cut after '. ', '! ', '? ' and line ends; put together again the pieces give the text. U+0001 also cuts, and is lost."""
-    for end in (". ", "! ", "? ", "\n"):
-        text = F.replace(text, F.lit(end), F.lit(end + "\x01"))
-    return F.split(text, "\x01")
-
-
-def _trim(s: Column) -> Column:
-    return F.btrim(s, F.lit(_BLANK))
-
-
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns behind a generator, so that what uses them doesn't work them out again."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
-
-
-def _spans(docs: DataFrame, run: int, min_chars: int, min_words: int) -> DataFrame:
-    """(h, doc_id, tid, at, upto): a row for each run of sentences, with the first and the last piece it covers."""
-    sentence = lambda s, k: F.struct(k.alias("k"), _trim(s).alias("s"), F.size(F.split(_trim(s), r"\s+")).alias("w"))
-    cut = _once(docs.select("doc_id", F.xxhash64("text").alias("tid"), pieces(F.col("text")).alias("parts")).where("parts IS NOT NULL"), said=F.filter(F.transform("parts", sentence), lambda x: x["s"] != ""))
-    starts = F.when(F.size("said") > 0, F.sequence(F.lit(1), F.size("said")))
-    own = cut.select("doc_id", "tid", "said", F.explode(starts).alias("i")).select("doc_id", "tid", F.slice("said", F.col("i"), F.lit(max(run, min_chars))).alias("own"))
-    spans = _once(own, n=F.when(F.size("own") >= run, _reach(F.col("own"), run, min_chars)))
-    spans = spans.select("doc_id", "tid", "own", F.explode(_lengths(F.col("own"), F.col("n"), run, min_words)).alias("n"))
-    spans = spans.select("doc_id", "tid", F.slice("own", F.lit(1), F.col("n")).alias("own"))
-    return spans.select(F.xxhash64("own.s").alias("h"), "doc_id", "tid", F.col("own")[0]["k"].alias("at"), F.element_at("own", -1)["k"].alias("upto"))
-
-
-def _lengths(own: Column, n: Column, run: int, min_words: int) -> Column:
-    """The lengths of the runs that begin here: n, and each of fewer than `run` sentences that has min_words. Two runs that cover a longer one
-    between them stand for it: where that one is repeated, so are they."""
-
-    def worth(first: int, length: int) -> Column:
-        words = sum((F.get(own, F.lit(k))["w"] for k in range(first, first + length)), F.lit(0))
-        return F.coalesce(words >= min_words, F.lit(False)) if length else F.lit(False)
-
-    covered = lambda length: worth(0, length - 1) & worth(1, length - 1)
-    short = [F.when(worth(0, k) & ~covered(k), F.lit(k)) for k in range(1, run)]
-    return F.array_compact(F.array(*short, F.when(~((n == run) & covered(run)), n)))
-
-
-def _reach(own: Column, run: int, min_chars: int) -> Column:
-    """How many of the sentences make a run; null if all are too short. A sentence has a character at least, so min_chars of them always do."""
-    count = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + F.length(x["s"]))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"))
-
-    def step(acc: Column, x: Column) -> Column:
-        done = (acc["n"] >= run) & (acc["chars"] >= min_chars)
-        return F.struct(F.when(done, acc["n"]).otherwise(acc["n"] + 1).alias("n"), F.when(done, acc["chars"]).otherwise(acc["chars"] + F.length(x["s"])).alias("chars"))
-
-    longer = F.aggregate(own, start, step, lambda acc: F.when((acc["n"] >= run) & (acc["chars"] >= min_chars), acc["n"]))
-    return F.when(count(F.slice(own, F.lit(1), F.lit(run))) >= min_chars, F.lit(run)).otherwise(longer)
-
-
-def repeats(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, tid, runs, first_docs): for each document with a later occurrence, its repeated runs, and whose they repeat."""
-    order = Window.partitionBy("h").orderBy(F.col("doc_id").asc_nulls_last(), "tid", "at")
-    first = _spans(docs, run_sentences, min_chars, min_words).select("*", F.row_number().over(order).alias("nth"), F.first(F.struct("doc_id", "tid", "at")).over(order).alias("first"))
-    later = first.where((F.col("nth") > 1) & ~F.struct("doc_id", "tid", "at").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("at", "upto")).alias("runs"), F.array_sort(F.collect_set("first.doc_id")).alias("first_docs"))
+_MARK, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[*map(ord, MARKS)]] = True
+_SPACE[[*map(ord, _BLANK)]] = True
+
+
+def _edges(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where pieces begin, with the end of the last: the rows' own edges and the places after marks."""
+    n = len(buf)
+    first = np.zeros(n + 1, bool)
+    first[offs] = True
+    stop = np.flatnonzero(_MARK[buf[:-1]] & (buf[1:] == 32)) if n > 1 else np.zeros(0, np.int64)
+    stop = stop[~first[stop + 1]] + 2  # the blank belongs to the same row
+    cuts = [offs, stop, np.flatnonzero(buf == 10) + 1]
+    for mark in map(str.encode, WIDE):
+        at = np.flatnonzero(buf[: max(n - 2, 0)] == mark[0])
+        cuts.append(at[(buf[at + 1] == mark[1]) & (buf[at + 2] == mark[2])] + 3)
+    return np.unique(np.concatenate(cuts))
+
+
+def runs(buf: np.ndarray, offs: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, hash) of the shortest runs from each piece on and up to each piece; places in bytes of the row."""
+    edges = _edges(buf, offs)
+    filled = np.flatnonzero(~_SPACE[buf])
+    low, high = np.searchsorted(filled, edges[:-1]), np.searchsorted(filled, edges[1:])
+    said = np.flatnonzero(high > low)  # pieces that aren't blank
+    if not len(said):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    begin, end = filled[low[said]], filled[high[said] - 1] + 1
+    row = np.searchsorted(offs, edges[said], "right") - 1
+    chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    upto = np.concatenate([[0], np.cumsum(chars[end] - chars[begin])])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(len(buf))[: len(buf)])])
+    own = mix((sums[end] - sums[begin]) * unpowers(len(buf))[begin])
+    chain = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * unpowers(len(own))[: len(own)])])
+    each = np.arange(len(said))
+    start_of, last_of = np.searchsorted(row, row), np.searchsorted(row, row, "right") - 1
+    ahead = np.searchsorted(upto, upto[:-1] + min_chars) - 1
+    ahead = np.maximum(ahead, each)
+    behind = np.minimum(np.searchsorted(upto, upto[1:] - min_chars, "right") - 1, each)
+    down = np.flatnonzero(ahead <= last_of)
+    up = np.flatnonzero(behind >= start_of)
+    up = up[ahead[behind[up]] != up]
+    i, j = np.concatenate([down, behind[up]]), np.concatenate([ahead[down], up])
+    hashes = mix((chain[j + 1] - chain[i]) * powers(len(own))[i] ^ mix((j - i + 1).astype(np.uint64)))
+    until = np.minimum(np.append(edges[said[1:]], len(buf)), offs[row + 1])
+    return row[i], edges[said[i]] - offs[row[i]], until[j] - offs[row[i]], hashes
+
+
+def _ranks(doc: pa.Array, tid: np.ndarray) -> np.ndarray:
+    """A number for each (doc_id, hash of text), equal for equal ones, in their order, null ids last."""
+    coded = doc.dictionary_encode(null_encoding="encode")
+    place = np.empty(len(coded.dictionary), np.int64)
+    place[pc.array_sort_indices(coded.dictionary, null_placement="at_end").to_numpy()] = np.arange(len(place))
+    code = place[coded.indices.to_numpy()]
+    order = np.lexsort((tid, code))
+    new = np.append(False, (np.diff(code[order]) != 0) | (np.diff(tid[order]) != 0))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of each owner that touch or overlap as one."""
+    order = np.lexsort((start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    far = int(end.max(initial=0)) + 1
+    reach = np.maximum.accumulate(end + owner * far) - owner * far  # owners rise, so an earlier one's reach can't count
+    new = np.append(True, (owner[1:] != owner[:-1]) | (start[1:] > reach[:-1]))[: len(owner)]
+    at = np.flatnonzero(new)
+    return owner[at], start[at], reach[np.append(at[1:], len(owner))[: len(at)] - 1]
+
+
+def _chunk(docs: list[pa.Array], tids: list[np.ndarray], found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The first of equal runs of a chunk, and what the others cover."""
+    doc, tid = pa.chunked_array(docs).combine_chunks(), np.concatenate(tids)
+    row, start, end, h = (np.concatenate([f[k] for f in found]) for k in range(4))
+    rank = _ranks(doc, tid)
+    some = np.zeros(int(rank.max(initial=0)) + 1, np.int64)
+    some[rank] = np.arange(len(rank))  # a row for each rank
+    own = rank[row]
+    order = np.lexsort((start, own, h))
+    own, start, end, h = own[order], start[order], end[order], h[order]
+    new = np.append(True, h[1:] != h[:-1])[: len(h)]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    late = ~new & ((own != own[head]) | (start != start[head]))
+    gone = _merged(own[late], start[late], end[late])
+    parts = [(h[new], own[new], start[new], end[new]), (mix(gone[0].astype(np.uint64) ^ tid[some[gone[0]]].view(np.uint64) ^ mix(gone[1].astype(np.uint64))), *gone)]
+    for k, (key, who, a, b) in enumerate(parts):
+        at = some[who]
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), bool(k))), doc.take(pa.array(at)), pa.array(tid[at]), pa.array(a), pa.array(b)], ["h", "late", "doc_id", "tid", "start", "end"])
+
+
+def _spans(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(h, late, doc_id, tid, start, end): a row for each run that may be a first, and each stretch that is none (late)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        ids, tids, found, rows, size = [], [], [], 0, 0
+        for batch in batches:
+            ids.append(batch.column(0))
+            tids.append(batch.column(1).to_numpy())
+            buf, offs = utf8(batch.column(2))
+            for a, b in slices(offs):
+                row, *rest = runs(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], min_chars)
+                found.append((row + rows + a, *rest))
+                size += len(row)
+            rows += batch.num_rows
+            if size >= CHUNK_RUNS:
+                yield from _chunk(ids, tids, found)
+                ids, tids, found, rows, size = [], [], [], 0, 0
+        if size:
+            yield from _chunk(ids, tids, found)
+
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tid"), "text")
+    return map_arrow(rows, run, f"h bigint, late boolean, doc_id {kind}, tid bigint, start bigint, end bigint")
+
+
+def repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, tid, cut): for each document with a later occurrence, the stretches to remove, in bytes, which don't touch."""
+    order = Window.partitionBy("h", "late").orderBy(F.col("doc_id").asc_nulls_last(), "tid", "start")
+    here = F.struct("doc_id", "tid", "start")
+    ranked = _spans(docs, min_chars).select("*", F.row_number().over(order).alias("nth"), F.first(here).over(order).alias("first"))
+    later = ranked.where(F.col("late") | (F.col("nth") > 1) & ~here.eqNullSafe(F.col("first"))).select("doc_id", "tid", "start", "end")
+    own = Window.partitionBy("doc_id", "tid").orderBy("start", "end")
+    reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(own)
+    whole = later.withColumn("reach", reach).withColumn("island", island).groupBy("doc_id", "tid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return whole.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut"))
 
 
 def _shortened(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """aside(docs) with short, n, removed and first_docs."""
+    """aside(docs) with short, the text without what is to be removed."""
     doc, text = F.col(named(docs, "doc_id")), F.col(named(docs, "text"))
     side = found.withColumnsRenamed({"doc_id": "d", "tid": "t"})
     out = aside(docs).join(side, doc.eqNullSafe(F.col("d")) & (F.xxhash64(text) == F.col("t")), how)
-    out = _once(out, parts=pieces(text), cut=F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["upto"])))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "cut")
-    filled = lambda s: _trim(s) != ""
-    out = _once(out, short=F.when(F.col("cut").isNull(), text).otherwise(F.concat_ws("", F.transform(kept, lambda k: F.get("parts", k)))), n=F.size(F.filter("parts", filled)))
-    return out.withColumn("removed", F.coalesce(F.size(F.filter(F.transform("cut", lambda k: F.get("parts", k)), filled)), F.lit(0)))
+    raw = text.cast("binary")
+    begins, ends = F.concat(F.array(F.lit(0).cast("long")), F.col("cut.end")), F.concat(F.col("cut.start"), F.array(F.octet_length(text).cast("long")))
+    kept = F.zip_with(begins, ends, lambda a, b: raw.substr((a + 1).cast("int"), (b - a).cast("int")).cast("string"))
+    return out.withColumn("short", F.when(F.col("cut").isNull(), text).otherwise(F.array_join(kept, "")))
 
 
-def shortened(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, first_docs, n_sentences, n_removed, text) of each document that loses sentences.
+def shortened(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, n_chars, n_removed, text) of each document that loses something; n_chars is the length before.
 
-    A run has min_chars characters at least: two documents may well share three words that are sentences. A run of fewer than run_sentences
-    sentences has min_words words, apart by white space, at least. A document without a run, a null and an empty text lose nothing. Occurrences are ordered by doc_id, nulls last, then by a hash of the text, then by
-    place; rows that repeat id and text are one document and lose the same. A text can become empty. An empty table gives no rows.
+    A document without a repeated run, a null and an empty text lose nothing. Occurrences are ordered by doc_id, nulls last, then by a hash of
+    the text, then by place; what a document has twice is repeated too. Rows that repeat id and text are one document and lose the same. A text can
+    become empty. An empty table gives no rows.
     """
     rows = docs.select("doc_id", "text")
-    out = _shortened(rows, repeats(rows, run_sentences, min_chars, min_words), "inner")
-    return out.select(F.col("__c0").alias("doc_id"), "first_docs", F.col("n").alias("n_sentences"), F.col("removed").alias("n_removed"), F.col("short").alias("text"))
+    out = _shortened(rows, repeats(rows, min_chars), "inner")
+    return out.select(F.col("__c0").alias("doc_id"), F.length("__c1").alias("n_chars"), (F.length("__c1") - F.length("short")).alias("n_removed"), F.col("short").alias("text"))
 
 
-def deduplicate(docs: DataFrame, run_sentences: int = RUN_SENTENCES, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs, all rows and columns, each text without its repeated sentences."""
-    out = _shortened(docs, repeats(docs, run_sentences, min_chars, min_words), "left")
+def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs, all rows and columns, each text without its repeated spans."""
+    out = _shortened(docs, repeats(docs, min_chars), "left")
     return back(out, docs, text=F.col("short"))
 
 
-def oracle(run: int = RUN_SENTENCES, min_chars: int = MIN_CHARS) -> str:
-    """DuckDB SQL for op9_sentence_spans, without the runs of min_words: it removes some of what the query does."""
-    cut = "text"
-    for end in ("'. '", "'! '", "'? '", "chr(10)"):
-        cut = f"replace({cut}, {end}, {end} || chr(1))"
+def _cut_sql(text: str) -> str:
+    for end in [f"'{m} '" for m in MARKS] + [f"'{m}'" for m in WIDE] + ["chr(10)"]:
+        text = f"replace({text}, {end}, {end} || chr(1))"
+    return text
+
+
+def oracle(min_chars: int = MIN_CHARS) -> str:
+    """DuckDB SQL for op9_sentence_spans. Runs are compared as lists of texts."""
     chars = "' ' || chr(10) || chr(13) || chr(9)"
     return f"""
-WITH cut AS (SELECT doc_id, text, string_split({cut}, chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
-piece AS (SELECT doc_id, text, k - 1 AS k, parts[k] AS raw, trim(parts[k], {chars}) AS s FROM cut, generate_series(1, len(parts)) AS g(k)),
-said AS (SELECT *, row_number() OVER w AS nth, sum(length(s)) OVER w AS upto_chars FROM piece WHERE s <> '' WINDOW w AS (PARTITION BY doc_id, text ORDER BY k)),
-reach AS (
-  SELECT a.doc_id, a.text, a.nth, a.k AS begin_, min(b.nth) AS last_
-  FROM said a JOIN said b ON a.doc_id = b.doc_id AND a.text = b.text AND b.nth BETWEEN a.nth + {run - 1} AND a.nth + {max(run, min_chars) - 1} AND b.upto_chars - a.upto_chars + length(a.s) >= {min_chars}
-  GROUP BY ALL),
-long AS (
-  SELECT r.doc_id AS doc_id, r.text AS text, begin_, max(b.k) AS end_, list(b.s ORDER BY b.nth) AS own
-  FROM reach r JOIN said b ON r.doc_id = b.doc_id AND r.text = b.text AND b.nth BETWEEN r.nth AND r.last_ GROUP BY r.doc_id, r.text, r.nth, begin_),
-ranked AS (SELECT *, row_number() OVER o AS nth, first(doc_id) OVER o AS first_doc FROM long WINDOW o AS (PARTITION BY own ORDER BY doc_id NULLS LAST, begin_)),
-later AS (SELECT doc_id, text, begin_, end_, first_doc FROM ranked WHERE nth > 1),
-gone AS (SELECT DISTINCT l.doc_id, l.text, k FROM later l, generate_series(l.begin_, l.end_) AS g(k)),
-source AS (SELECT doc_id, text, list_sort(list(DISTINCT first_doc)) AS first_docs FROM later GROUP BY doc_id, text)
-SELECT p.doc_id AS doc_id, s.first_docs AS first_docs, CAST(count(*) FILTER (p.s <> '') AS INTEGER) AS n_sentences,
-       CAST(count(*) FILTER (p.s <> '' AND g.k IS NOT NULL) AS INTEGER) AS n_removed, coalesce(string_agg(p.raw, '' ORDER BY p.k) FILTER (g.k IS NULL), '') AS text
-FROM piece p JOIN source s ON p.doc_id = s.doc_id AND p.text = s.text LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.text = p.text AND g.k = p.k
-GROUP BY p.doc_id, p.text, s.first_docs
+WITH cut AS (SELECT doc_id, text, string_split({_cut_sql("text")}, chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
+piece AS (SELECT doc_id, text, k - 1 AS k, parts[k] AS raw, trim(parts[k], {chars}) AS s, len(parts) AS parts FROM cut, generate_series(1, len(parts)) AS g(k)),
+said AS (SELECT *, row_number() OVER w AS nth, sum(length(s)) OVER w AS upto, coalesce(lead(k) OVER w, parts) - 1 AS until_ FROM piece WHERE s <> '' WINDOW w AS (PARTITION BY doc_id, text ORDER BY k)),
+pairs AS (
+  SELECT a.doc_id AS doc_id, a.text AS text, a.nth AS i, b.nth AS j FROM said a JOIN said b
+  ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.text = b.text AND b.nth BETWEEN a.nth AND a.nth + {min_chars - 1} AND b.upto - a.upto + length(a.s) >= {min_chars}
+     AND (b.upto - length(b.s) - a.upto + length(a.s) < {min_chars} OR b.upto - a.upto < {min_chars})),
+own AS (
+  SELECT p.doc_id AS doc_id, p.text AS text, p.i AS i, p.j AS j, min(s.k) AS begin_, max(s.until_) AS end_, list(s.s ORDER BY s.nth) AS run
+  FROM pairs p JOIN said s ON p.doc_id IS NOT DISTINCT FROM s.doc_id AND p.text = s.text AND s.nth BETWEEN p.i AND p.j GROUP BY p.doc_id, p.text, p.i, p.j),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, begin_) AS nth FROM own) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, text, k FROM later, generate_series(begin_, end_) AS g(k)),
+left_ AS (
+  SELECT p.doc_id AS doc_id, p.text AS text, coalesce(string_agg(p.raw, '' ORDER BY p.k) FILTER (g.k IS NULL), '') AS short, bool_or(g.k IS NOT NULL) AS hit
+  FROM piece p LEFT JOIN gone g ON g.doc_id IS NOT DISTINCT FROM p.doc_id AND g.text = p.text AND g.k = p.k GROUP BY p.doc_id, p.text)
+SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, CAST(length(text) - length(short) AS INTEGER) AS n_removed, short AS text FROM left_ WHERE hit
 """
