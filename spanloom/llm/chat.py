@@ -26,9 +26,9 @@ def prefixes(conversations: DataFrame) -> DataFrame:
 
 
 def render(role, text):
-    """A turn as text. Marks inside the turn lose their meaning by a blank."""
-    safe = F.replace(text, F.lit("<|im_"), F.lit("<| im_"))
-    return F.concat(F.lit(OPEN), role, F.lit("\n"), safe, F.lit(CLOSE + "\n"))
+    """A turn as text. Marks inside the text or the role lose their meaning by a blank, as do line ends inside the role."""
+    safe = lambda c: F.replace(c, F.lit("<|im_"), F.lit("<| im_"))
+    return F.concat(F.lit(OPEN), F.replace(safe(role), F.lit("\n"), F.lit(" ")), F.lit("\n"), safe(text), F.lit(CLOSE + "\n"))
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ WITH conv AS (
   SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns, count(*) AS n
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id)
 SELECT conv_id, CAST(n AS INTEGER) AS n_turns,
-       array_to_string(list_transform(turns, lambda x: '{OPEN}' || x.r || chr(10) || replace(x.t, '<|im_', '<| im_') || '{CLOSE}' || chr(10)), '') AS text
+       array_to_string(list_transform(turns, lambda x: '{OPEN}' || replace(replace(x.r, '<|im_', '<| im_'), chr(10), ' ') || chr(10) || replace(x.t, '<|im_', '<| im_') || '{CLOSE}' || chr(10)), '') AS text
 FROM conv a
 WHERE NOT EXISTS (SELECT 1 FROM conv b WHERE b.turns[1].r = a.turns[1].r AND b.turns[1].t = a.turns[1].t AND b.n > a.n AND b.turns[1:a.n] = a.turns)
   AND NOT EXISTS (SELECT 1 FROM conv b WHERE b.turns = a.turns AND b.conv_id < a.conv_id)

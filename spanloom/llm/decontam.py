@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import grams, map_arrow, slices, utf8, whole, words
 
@@ -169,6 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
     kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {kind}, n_covered int, n_tiles int, coverage double"
     found = spark.createDataFrame([], schema)
+    id_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     for index in _parts(benchmark, chunk_bytes, min_match):
         shared = spark.sparkContext.broadcast(index)
 
@@ -178,11 +180,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
                 got = [x for x in own.matches(*utf8(batch.column(1), lower=True)) if x[2] >= threshold]
                 ids = batch.column(0)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([x[0] for x in got], pa.int64())), pa.array([own.ids[x[1]] for x in got], batch_type), pa.array([x[3] for x in got], pa.int32()), pa.array([x[4] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.float64())],
+                    [ids.take(pa.array([x[0] for x in got], pa.int64())), pa.array([own.ids[x[1]] for x in got], id_type), pa.array([x[3] for x in got], pa.int32()), pa.array([x[4] for x in got], pa.int32()), pa.array([x[2] for x in got], pa.float64())],
                     ["doc_id", "item_id", "n_covered", "n_tiles", "coverage"],
                 )
 
-        batch_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
         found = found.unionByName(map_arrow(docs.select("doc_id", "text"), detect, schema))
     best = F.max(F.struct("coverage", "n_covered", "n_tiles")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_covered", "best.n_tiles", "best.coverage")

@@ -3,7 +3,8 @@
 Small regression trees are boosted on statistics of labelled texts; every path from a root becomes a conjunctive rule; a logistic model
 with an L1 penalty weighs the rules and leaves most at zero; the rest compile into one Spark column expression. Two ensembles share the
 statistics: one for `quality`, one for `toxic`; a document is kept if the first says good and the second says clean. One statistic counts
-words of a lexicon of toxic terms, which is learned from the same labels.
+words of a lexicon of toxic terms, which is learned from the same labels: the rows that rules are fitted on are counted with a lexicon of the other
+half of the rows, so that no row vouches for its own words.
 
 Scale: fitting takes at most `sample_rows` labelled rows (a documented bound: the least by a hash of the id, so the same at every run), and
 happens on the driver over a matrix of so many rows and a dozen columns. Scoring is one narrow projection inside the JVM, over all documents.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import aside, back, named
 
-SAMPLE_ROWS, TREES, DEPTH, PENALTY, LEXICON_TERMS, LEXICON_MIN_DOCS, LEXICON_ODDS = 8_000, 12, 3, 0.004, 200, 5, 3
+SAMPLE_ROWS, TREES, DEPTH, PENALTY, LEXICON_MIN_DOCS, LEXICON_ODDS = 8_000, 12, 3, 0.004, 5, 3.0
 SYMBOLS = "#$%&*|<>{}=~^"
 
 
@@ -184,24 +185,37 @@ class Model:
     lexicon: list[str]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def _lexicon(words: DataFrame, totals: list[tuple[int, int]], min_docs: int, odds: float) -> list[list[str]]:
+    """The toxic terms of half 0, of half 1 and of all rows. words: (w, half, toxic); totals: (toxic rows, rows) of both halves."""
+    per = words.groupBy("w").agg(*[F.sum(F.when(F.col("half") == h, x)).alias(f"{n}{h}") for h in (0, 1) for n, x in (("bad", F.col("toxic")), ("n", F.lit(1)))])
+    per = per.fillna(0).where(F.col("bad0") + F.col("bad1") >= min_docs)
+    totals = [*totals, (totals[0][0] + totals[1][0], totals[0][1] + totals[1][1])]
+    seen = [(F.col("bad0"), F.col("n0")), (F.col("bad1"), F.col("n1")), (F.col("bad0") + F.col("bad1"), F.col("n0") + F.col("n1"))]
+    chosen = []
+    for (b, n), (all_bad, all_n) in zip(seen, totals):
+        ratio = F.log((b + 0.5) / (all_bad + 1.0)) - F.log((n - b + 0.5) / (all_n - all_bad + 1.0))
+        chosen.append((b >= min_docs) & (ratio > odds) if 0 < all_bad < all_n else F.lit(False))
+    rows = per.select("w", *[c.alias(f"c{k}") for k, c in enumerate(chosen)]).where("c0 OR c1 OR c2").collect()
+    return [sorted(r["w"] for r in rows if r[f"c{k}"]) for k in range(3)]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon_min_docs: int = LEXICON_MIN_DOCS, lexicon_odds: float = LEXICON_ODDS) -> Model:
     """Fit both ensembles on the labelled documents, at most sample_rows of them, those with the least hash of doc_id.
 
+    A word is a toxic term if lexicon_min_docs toxic rows have it and its logarithmic odds of standing in one exceed lexicon_odds; there is no limit on
+    their number but what sample_rows rows hold.
+
     Rows with a null id, text or label, and ids that docs lacks, are passed over. A label with one value only, or no labels at all, gives an
     ensemble without rules; without labels every text is good and clean.
     """
     few = labels.select("doc_id", "quality", "toxic").where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), "doc_id")
-    words = texts.select(F.explode(F.array_distinct(split_words(F.col("text")))).alias("w"), "toxic")
-    per = words.groupBy("w").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where(F.col("bad") >= LEXICON_MIN_DOCS)
-    total = texts.agg(F.sum("toxic"), F.count("*")).first()
-    bad, n = int(total[0] or 0), int(total[1] or 0)
-    lexicon: list[str] = []
-    if 0 < bad < n:
-        odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n - bad + 1.0))
-        lexicon = [r["w"] for r in per.withColumn("odds", odds).where(f"odds > {LEXICON_ODDS}").orderBy(F.desc("odds"), "w").limit(LEXICON_TERMS).collect()]
-    got = with_statistics(texts.select("text", "quality", "toxic"), lexicon).select("__c1", "__c2", "__s.*").collect()
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), "doc_id").select("text", "quality", "toxic", half)
+    words = texts.select(F.explode(F.array_distinct(split_words(F.col("text")))).alias("w"), "half", "toxic")
+    sizes = {r["half"]: (int(r["bad"] or 0), r["n"]) for r in texts.groupBy("half").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()}
+    first, second, lexicon = _lexicon(words, [sizes.get(h, (0, 0)) for h in (0, 1)], lexicon_min_docs, lexicon_odds)
+    got = [r for h, other in ((0, second), (1, first)) for r in with_statistics(texts.where(F.col("half") == h).select("text", "quality", "toxic"), other).select("__c1", "__c2", "__s.*").collect()]
     data = np.array([[float(v) for v in r] for r in got]).reshape(-1, 2 + len(STATISTICS))
     order = np.lexsort(data.T)
     data = data[order]

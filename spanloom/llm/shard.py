@@ -16,6 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import shuffle_partitions
 
@@ -135,13 +136,15 @@ def number_rows(df: DataFrame, key: str, ties: list[str], ranges: int | None = N
 def shards(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
     """docs with row_number, position, shard and slot (those names are replaced where docs has them).
 
-    Rows are numbered by doc_id, ties by the other columns in order of name, nulls first; rows that are alike in all of them take
-    consecutive numbers. Shards differ in size by one row at most; slots of a shard are 0, 1, ... An empty table stays empty.
+    Rows are numbered by doc_id, or by its hash where it isn't a number, ties by the other columns in order of name, nulls first; columns that
+    have no order (maps, variants) don't count; rows that are alike in all of them take consecutive numbers. Shards differ in size by one row at most; slots of a shard are 0, 1, ... An empty table stays empty.
     """
-    own = [c for c in docs.columns if c not in ("row_number", "position", "shard", "slot", "__range", "__n")]
+    own = [c for c in docs.columns if c not in ("row_number", "position", "shard", "slot", "__range", "__n", "__key")]
     docs = docs.select(*own)
-    ties = [c for c in sorted(own) if c != "doc_id" and "map" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()]
-    numbered, n = number_rows(docs, "doc_id", ties)
+    ties = [c for c in sorted(own) if "map" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString()]
+    number = isinstance(docs.schema["doc_id"].dataType, NumericType)
+    key = F.col("doc_id") if number else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    numbered, n = number_rows(docs.withColumn("__key", key), "__key", ["doc_id", *ties])
     place = position(F.col("__n"), n, seed, rounds) if n else F.col("__n")
     split = F.lit(n_shards).cast("long")
     out = numbered.select(*own, F.col("__n").cast("long").alias("row_number"), place.alias("position"))

@@ -66,3 +66,46 @@ def test_edges(spark, make_docs, rng):
         plain = quality.train(some, none)
         assert not plain.quality.rules and not plain.toxic.rules
         assert quality.score(docs, plain).where("keep").count() == 203
+
+
+def by_hand(text, lexicon):
+    """The statistics in plain Python."""
+    text = text or ""
+    flat = text.lower()
+    for mark in "\n\t,.!?;:\"()":
+        flat = flat.replace(mark, " ")
+    said = [w for w in flat.split(" ") if w]
+    distinct, n, n_words = set(said), max(len(text), 1), max(len(said), 1)
+    share = lambda marks: sum(text.count(m) for m in marks) / n
+    bad = len(distinct & set(lexicon))
+    return [np.log(n), share(quality.SYMBOLS), share("0123456789"), share(".!?"), share(",;:"), share("\n"), n_words / n, len(distinct) / n_words, sum(map(len, distinct)) / max(len(distinct), 1), len(text.encode()) / n, bad, bad / max(len(distinct), 1)]
+
+
+def test_statistics_by_hand(spark, make_docs, rng):
+    texts = [sentences(rng, 5), "Ün Dé! 12\t#$%^~ (a;b:c) \"q\"\n\nzonk, blarg blarg", "", None, "x" * 9000, "WORD word, Word"]
+    for lexicon in ([], ["zonk", "blarg", "absent"]):
+        got = quality.with_statistics(make_docs(texts), lexicon).select(F.col("__c0").alias("k"), "__s.*").collect()
+        for r in got:
+            assert np.allclose([float(v) for v in r[1:]], by_hand(texts[r.k], lexicon)), texts[r.k]
+
+
+def test_lasso_weights_are_the_optimum():
+    """At the minimum of loss + penalty the gradient is the penalty for weights in use and no larger for the others, which is checked rule by rule."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, len(quality.STATISTICS)))
+    y = ((x[:, 1] > 0.3) | (x[:, 2] < -1)).astype(float)
+    model = quality.fit(x, y, penalty=0.01)
+    off = model.predict(x) - y
+    assert abs(off.mean()) < 1e-3 and model.rules
+    for rule in model.rules:
+        held = rule.holds(x).astype(float)
+        pull = (held * off).mean() / max(held.std(), 0.05)
+        assert abs(pull + 0.01 * np.sign(rule.weight)) < 2e-3
+
+
+def test_no_row_vouches_for_its_own_words(spark, make_docs, rng):
+    """Each toxic text of these has a word of its own five times over; none is a term, as no other row has it."""
+    rows = [(k, sentences(rng, 8) + (f" own{k}" * 5 if k % 4 == 0 else "")) for k in range(300)]
+    labels = [(k, 1, int(k % 4 == 0)) for k in range(300)]
+    model = quality.train(make_docs(rows), spark.createDataFrame(labels, LABELS))
+    assert model.lexicon == [] and (model.toxic.predict(np.zeros((1, len(quality.STATISTICS)))) < 0.5).all()

@@ -20,6 +20,14 @@ def test_column_is_the_python_permutation_whatever_the_ranges(spark, make_docs,
     assert n == 57 and [r.doc_id for r in numbered.orderBy("__n").collect()] == sorted(ids)
 
 
+def test_ids_that_are_no_numbers(spark):
+    rows = [("b", 1), ("a", 2), (None, 3), ("", 4), ("a", 1), ("long " * 500, 5)]
+    docs = spark.createDataFrame(rows, "doc_id string, n int")
+    got = sorted(spark_row for spark_row in ((r.row_number, r.position, r.doc_id, r.n) for r in shard.shards(docs.repartition(3)).collect()))
+    assert [r[0] for r in got] == list(range(6)) and [r[1] for r in got] == [shard.permute(k, 6) for k in range(6)]
+    assert got[0][2:] == (None, 3) and [r[3] for r in got if r[2] == "a"] == [1, 2]
+
+
 def test_nulls_ties_repeats_empty_and_clashing_names(spark, make_docs):
     docs = make_docs([(None, None), (3, "b"), (3, "a"), (3, "a"), (1, ""), (None, "x" * 100_000)], extra=("shard", "__n", "payload"))
     rows = sorted(shard.shards(docs).collect(), key=lambda r: r.row_number)
