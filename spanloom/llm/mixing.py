@@ -2,26 +2,29 @@
 
 The documents of each source are shuffled by a hash and laid end to end; every `block_tokens` tokens of that stream are a block, and a
 document belongs to the block in which it starts. Slot i of the schedule takes the golden-ratio point i * 2654435769 mod 2 ** 32 through the
-cumulative target weights to a source, so that every prefix of the schedule is close to the target. Slots are ranked within their source, and
+cumulative target weights to a source, so that every prefix of the schedule is close to the target. Slots are ranked within their source, by counts of
+ranges of slots and inside each range, and
 the r-th slot of a source takes its block r modulo its number of blocks. The schedule ends where every block of every source has been placed
 once: nothing is lost, and sources that the target favours come round again.
 
 By default the target moves `even` of the weight from natural shares to equal shares of all sources.
 
 Scale: a source can hold most of the corpus, so streams are summed in two levels: 4096 hash buckets a source, whose sums give offsets, and a
-window inside each bucket. Sums of sources, one row each, go to the driver. The schedule has a row a block and is broadcast only below
-`broadcast_slots`.
+window inside each bucket. Sums of sources, one row each, go to the driver, and their bounds, 8 bytes each, to the tasks that place slots. The
+schedule has a row a block and is broadcast only below `broadcast_slots`.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, back, named
+from .common import aside, back, map_arrow, named
 
 BLOCK_TOKENS, EVEN_PARTS, SEED, BROADCAST_SLOTS = 65_536, 4, "mix-1", 500_000
-_GOLDEN, _CELLS, _SLACK = 2_654_435_769, 1 << 20, 40
+_GOLDEN, _CELLS, _SLACK, _RANGE = 2_654_435_769, 1 << 32, 40, 1 << 16
 
 
 def count_tokens(text: Column) -> Column:
@@ -31,20 +34,20 @@ def count_tokens(text: Column) -> Column:
 
 
 def bounds(totals: list[tuple[str | None, int]], block_tokens: int, weights: dict[str | None, int] | None = None) -> list[tuple[str | None, int, int]]:
-    """(source, blocks, upper bound of its cells of 2 ** 20) in the order of source, nulls first.
+    """(source, blocks, upper bound of its cells of 2 ** 32) in the order of source, nulls first.
 
-    weights: any positive integers by source; without them EVEN_PARTS - 1 parts natural and one part equal. Sources without a token, or without
-    a weight, get no cells.
+    weights: any positive integers by source; without them EVEN_PARTS - 1 parts natural and one part equal. Sources without a weight get no cells;
+    one without a token has one block.
     """
-    totals = sorted(((s, n) for s, n in totals if n > 0 and (weights is None or weights.get(s, 0) > 0)), key=lambda x: (x[0] is not None, x[0] or ""))
+    totals = sorted(((s, n) for s, n in totals if weights is None or weights.get(s, 0) > 0), key=lambda x: (x[0] is not None, x[0] or ""))
     if not totals:
         return []
     mean = max(1, sum(n for _, n in totals) // len(totals))
     own = [weights[s] if weights is not None else (EVEN_PARTS - 1) * n + mean for s, n in totals]
-    out, run = [], 0
+    out, run, total = [], 0, sum(own)
     for (s, n), w in zip(totals, own):
         run += w
-        out.append((s, -(-n // block_tokens), run * _CELLS // sum(own)))
+        out.append((s, max(1, -(-n // block_tokens)), run * _CELLS // total))
     return out
 
 
@@ -53,31 +56,36 @@ def schedule(spark, plan: list[tuple[str | None, int, int]]) -> tuple[DataFrame,
     uppers = [u for _, _, u in plan]
     widths = [u - b for u, b in zip(uppers, [0, *uppers])]
     if any(w <= 0 for w in widths):
-        raise ValueError("a source's target weight is below 2 ** -20")
+        raise ValueError("a source's target weight is below 2 ** -32")
     most = max(-(-(n + _SLACK) * _CELLS // w) for (_, n, _), w in zip(plan, widths))
-    jumps = F.array(*[F.lit(1 << k) for k in reversed(range(len(plan).bit_length()))])
-    table = F.array(*map(F.lit, uppers))
-    cell = F.call_function("div", (F.col("slot") * F.lit(_GOLDEN)) % F.lit(1 << 32), F.lit((1 << 32) // _CELLS))
-    slots = spark.range(most).select(F.col("id").alias("slot")).withColumn("cell", cell)
-    nth = F.aggregate(jumps, F.lit(0), lambda at, j: F.when((at + j <= len(plan)) & (F.get(table, at + j - 1) <= F.col("cell")), at + j).otherwise(at))
-    slots = slots.select("slot", nth.alias("nth"))
-    ranked = slots.withColumn("rank", F.row_number().over(Window.partitionBy("nth").orderBy("slot")) - 1)
-    blocks = F.array(*[F.lit(n).cast("long") for _, n, _ in plan])
-    names = F.array(*[F.lit(s) for s, _, _ in plan]).cast("array<string>")
-    ranked = ranked.withColumn("n_blocks", F.get(blocks, F.col("nth")))
+    shared = spark.sparkContext.broadcast(np.array(uppers, np.int64))
+
+    def place(batches):
+        for batch in batches:
+            points = batch.column(0).to_numpy().astype(np.uint64) * np.uint64(_GOLDEN) % np.uint64(_CELLS)
+            nth = np.searchsorted(shared.value, points.astype(np.int64), "right")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nth.astype(np.int32))], ["slot", "nth"])
+
+    slots = map_arrow(spark.range(most).select(F.col("id").alias("slot")), place, "slot bigint, nth int").withColumn("range", F.call_function("div", "slot", F.lit(_RANGE).cast("long")))
+    ahead = Window.partitionBy("nth").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = slots.groupBy("nth", "range").count().select("nth", "range", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("nth", "range").orderBy("slot")
+    ranked = slots.withColumn("rank", F.row_number().over(inside) - 1).join(counts, ["nth", "range"]).withColumn("rank", F.col("rank") + F.col("before"))
+    sources = spark.createDataFrame([(k, s, n) for k, (s, n, _) in enumerate(plan)], "nth int, source string, n_blocks bigint")
+    ranked = ranked.join(sources, "nth")
     last = ranked.where("rank = n_blocks - 1").agg(F.max("slot"), F.count("*")).first()
     if last[1] != len(plan):
         raise ValueError("the schedule is too short for a source")
     out = ranked.where(F.col("slot") <= last[0])
-    return out.select("slot", F.get(names, F.col("nth")).alias("source"), F.call_function("div", F.col("rank"), F.col("n_blocks")).alias("epoch"), (F.col("rank") % F.col("n_blocks")).alias("block")), last[0] + 1
+    return out.select("slot", "source", F.call_function("div", F.col("rank"), F.col("n_blocks")).alias("epoch"), (F.col("rank") % F.col("n_blocks")).alias("block")), last[0] + 1
 
 
 def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, weights: dict[str | None, int] | None = None, seed: str = SEED, broadcast_slots: int = BROADCAST_SLOTS) -> DataFrame:
     """aside(docs) with __n_tokens, __slot, __epoch, __block, once for every slot of the block.
 
-    A null source is a source of its own. A document without tokens adds nothing to its stream and comes with the block in which it stands;
-    a source that has none but such documents can't be placed and drops out, as do sources without a weight. Rows that repeat an id are placed side
-    by side, ties in order of tokens. An empty table gives no rows.
+    A null source is a source of its own. A document without tokens adds nothing to its stream and comes with the block in which it stands, which is
+    the only one where a source has none but such documents. Sources to which `weights` gives nothing drop out; a weight below 2 ** -32 of the whole
+    raises. Rows that repeat an id are placed side by side, ties in order of tokens. An empty table gives no rows.
     """
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(named(docs, "doc_id")).cast("string"), F.lit(""))))
     own = [f"__c{k}" for k in range(len(docs.columns))]
@@ -123,14 +131,14 @@ starts AS (
   SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY h, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
          sum(n_tokens) OVER (PARTITION BY source) AS total FROM rows_),
 placed AS (SELECT *, CAST(least(start, greatest(total - 1, 0)) AS BIGINT) // {block_tokens} AS block FROM starts),
-totals AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS n FROM rows_ GROUP BY source HAVING sum(n_tokens) > 0),
-weighed AS (SELECT source, n, (n + {block_tokens - 1}) // {block_tokens} AS blocks, {EVEN_PARTS - 1} * n + greatest(1, (SELECT CAST(sum(n) AS BIGINT) // count(*) FROM totals)) AS w FROM totals),
+totals AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS n FROM rows_ GROUP BY source),
+weighed AS (SELECT source, n, greatest(1, (n + {block_tokens - 1}) // {block_tokens}) AS blocks, {EVEN_PARTS - 1} * n + greatest(1, (SELECT CAST(sum(n) AS BIGINT) // count(*) FROM totals)) AS w FROM totals),
 cells AS (
-  SELECT *, (upto * {_CELLS}) // total AS upper FROM (
+  SELECT *, CAST((CAST(upto AS HUGEINT) * {_CELLS}) // total AS BIGINT) AS upper FROM (
     SELECT *, CAST(sum(w) OVER (ORDER BY source NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(w) OVER () AS BIGINT) AS total FROM weighed)),
 ranges AS (SELECT *, coalesce(lag(upper) OVER (ORDER BY source NULLS FIRST), 0) AS lower FROM cells),
 most AS (SELECT max(((blocks + {_SLACK}) * {_CELLS} + upper - lower - 1) // (upper - lower)) AS n FROM ranges),
-slots AS (SELECT i AS slot, ((i * {_GOLDEN}) % 4294967296) // {(1 << 32) // _CELLS} AS cell FROM generate_series(0, (SELECT CAST(n AS BIGINT) - 1 FROM most)) AS g(i)),
+slots AS (SELECT i AS slot, (i * {_GOLDEN}) % {_CELLS} AS cell FROM generate_series(0, (SELECT CAST(n AS BIGINT) - 1 FROM most)) AS g(i)),
 ranked AS (
   SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
   FROM slots JOIN ranges ON cell >= lower AND cell < upper),

