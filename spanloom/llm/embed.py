@@ -7,8 +7,8 @@ projected space are more than epsilon apart. A join halves the longer of two int
 whose boxes are provably distant, and compares what is left by full vectors. The result is exact.
 
 Scale: equal vectors are one node from the start. Boxes, one row a block, are matched in Spark by their cells on the first direction; a block
-is sent once to each block that it has to be compared with. Of close vectors a leaf returns a spanning forest, so that m copies send on the order
-of m edges, not m squared. How much is skipped depends on the data: in many equally strong directions little can be.
+is sent once to each block that it has to be compared with. Of close vectors a leaf returns a spanning forest and how many links each vector has, so
+that m near ones send on the order of m rows, not m squared. How much is skipped depends on the data: in many equally strong directions little can be.
 """
 
 from __future__ import annotations
@@ -72,13 +72,15 @@ def directions(nodes: DataFrame, length: int, most: int) -> np.ndarray:
     return np.linalg.eigh(spread)[1][:, ::-1][:, :most].copy()
 
 
-def _leaf(a: np.ndarray, b: np.ndarray, same: bool, cosine: float) -> list[tuple[int, int]]:
-    """Edges (row of a, row of b) of a spanning forest of the close pairs."""
+def _leaf(a: np.ndarray, b: np.ndarray, same: bool, cosine: float, links_a: np.ndarray, links_b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row of a, row of b) of a spanning forest of the close pairs; every pair is counted in links_a and links_b."""
     near = a @ b.T >= cosine
     if same:
         near = np.triu(near, 1)
     if not near.any():
         return []
+    links_a += near.sum(1)
+    links_b += near.sum(0)
     edges: list[tuple[int, int]] = []
     rows_left, cols_left = near.any(1), near.any(0)
     for start in np.flatnonzero(rows_left):
@@ -100,11 +102,13 @@ def _leaf(a: np.ndarray, b: np.ndarray, same: bool, cosine: float) -> list[tuple
     return edges
 
 
-def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, same: bool, cosine: float, leaf: int = LEAF_ROWS) -> tuple[list[tuple[int, int]], int]:
-    """(edges between rows of x and of y, pairs compared). px, py: the projections, in the order of the sequence."""
+def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, same: bool, cosine: float, leaf: int = LEAF_ROWS) -> tuple[list[tuple[int, int]], int, np.ndarray, np.ndarray]:
+    """(edges between rows of x and of y, pairs compared, links of each row of x, of y; one array for both where they are the same). px, py: the projections, in the order of the sequence."""
     epsilon2 = 2 - 2 * cosine + 1e-9
     edges: list[tuple[int, int]] = []
     compared = 0
+    links_x = np.zeros(len(x), np.int64)
+    links_y = links_x if same else np.zeros(len(y), np.int64)
     todo = [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
@@ -115,7 +119,7 @@ def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray,
             continue
         if b - a <= leaf and d - c <= leaf:
             compared += (b - a) * (d - c)
-            edges += [(a + i, c + j) for i, j in _leaf(x[a:b], y[c:d], same and a == c, cosine)]
+            edges += [(a + i, c + j) for i, j in _leaf(x[a:b], y[c:d], same and a == c, cosine, links_x[a:b], links_y[c:d])]
         elif same and a == c:
             m = a + (b - a) // leaf // 2 * leaf or a + leaf
             m = max(a + leaf, min(m, b - 1)) if b - a > leaf else b
@@ -126,11 +130,11 @@ def join_intervals(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray,
         else:
             m = c + max(1, (d - c) // leaf // 2) * leaf
             todo += [(a, b, c, m), (a, b, m, d)]
-    return edges, compared
+    return edges, compared, links_x, links_y
 
 
 def close_pairs(nodes: DataFrame, length: int, cosine: float, most: int = DIRECTIONS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b): nodes whose vectors are close, as forests of the blocks' joins."""
+    """(a, b, n): nodes whose vectors are close, as forests of the blocks' joins, with n = 0; and (a, a, n) for n links of a node."""
     most = min(most, length)
     axes = directions(nodes, length, most)
     epsilon = float(np.sqrt(max(2 - 2 * cosine, 1e-12)))
@@ -163,37 +167,50 @@ def close_pairs(nodes: DataFrame, length: int, cosine: float, most: int = DIRECT
         x, p = (_matrix(table.column(c).chunk(0)) for c in ("vec", "p"))
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
         i, j = own == a, own == b
-        edges, _ = join_intervals(x[i], p[i], x[j], p[j], a == b, cosine)
+        edges, _, links_i, links_j = join_intervals(x[i], p[i], x[j], p[j], a == b, cosine)
         e = np.array(edges, np.int64).reshape(-1, 2)
-        return pa.table([pa.array(ids[i][e[:, 0]]), pa.array(ids[j][e[:, 1]])], ["a", "b"])
+        counted = [(ids[i], links_i)] + ([] if a == b else [(ids[j], links_j)])
+        who, links = (np.concatenate([c[k][c[1] > 0] for c in counted]) for k in (0, 1))
+        return pa.table([pa.array(np.concatenate([ids[i][e[:, 0]], who])), pa.array(np.concatenate([ids[j][e[:, 1]], who])), pa.array(np.concatenate([np.zeros(len(e), np.int64), links]))], ["a", "b", "n"])
 
     met = sides.join(blocks, "block").select("a", "b", "block", "id", "at", "vec", "p")
-    return apply_arrow(met.groupBy("a", "b"), link, "a bigint, b bigint")
+    return apply_arrow(met.groupBy("a", "b"), link, "a bigint, b bigint, n bigint")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, most: int = DIRECTIONS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(vec_id, kept_vec_id): each vector that goes, with the one of its group that stays.
+    """(vec_id, class_id, n_links): for each vector its class and how many other vectors, equal ones counted once, are close to it.
 
-    A group is a connected component of pairs with a cosine of at least `cosine`; its least vec_id stays. Rows with a null id, a null or empty
-    vector, a null or infinite element, only zeros, or a length that isn't the most common one are in no group. Rows that repeat id and vector
-    are one; an id with several vectors puts their groups together. An empty table gives no rows. Other columns are not read.
+    A class is a connected component of pairs with a cosine of at least `cosine`, named by its least vec_id, which is the one to keep. Rows with a null
+    id, a null or empty vector, a null or infinite element, only zeros, or a length that isn't the most common one are left out. Rows that repeat id
+    and vector are one; an id with several vectors puts their classes together and has the links of all. An empty table gives no rows. Other columns
+    are not read.
     """
     rows, length = _usable(vectors)
     if not length:
-        return vectors.sparkSession.createDataFrame([], "vec_id bigint, kept_vec_id bigint")
+        return vectors.sparkSession.createDataFrame([], "vec_id bigint, class_id bigint, n_links bigint")
     rows = rows.select("id", "vec").withColumn("h", F.xxhash64("vec"))
     nodes = rows.groupBy("h").agg(F.min("id").alias("id"), F.first("vec").alias("vec"))
-    equal = rows.join(nodes.select("h", F.col("id").alias("least")), "h").select(F.col("id").alias("a"), F.col("least").alias("b")).where("a <> b")
-    roots = components(equal.unionByName(close_pairs(nodes, length, cosine, most, block_rows)))
-    return roots.where("node <> root").select(F.col("node").alias("vec_id"), F.col("root").alias("kept_vec_id"))
+    # A node is named by its hash, as one id may have several vectors.
+    found = cut(close_pairs(nodes.select(F.col("h").alias("id"), "vec"), length, cosine, most, block_rows))
+    links = found.where("a = b").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n"))
+    member = rows.select("id", "h").distinct()
+    least = member.groupBy("h").agg(F.min("id").alias("least"))
+    ids = lambda c: least.select(F.col("h").alias(c), F.col("least").alias(f"id_{c}"))
+    between = found.where("a <> b").join(ids("a"), "a").join(ids("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    equal = member.join(least, "h").select(F.col("id").alias("a"), F.col("least").alias("b")).where("a <> b")
+    roots = components(equal.unionByName(between))
+    each = member.join(links, "h", "left").groupBy("id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_links"))
+    return each.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("vec_id"), F.coalesce("root", "id").alias("class_id"), "n_links")
 
 
 def oracle(cosine: float = COSINE) -> str:
     """DuckDB SQL for op4_embedding_near_dedup: all pairs, and reachability by recursion."""
     return f"""
 WITH RECURSIVE pair AS (
-  SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  SELECT a.vec_id AS u, b.vec_id AS v, b.embedding <> a.embedding AS other, b.embedding AS e FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
   AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {cosine}),
-reach(u, v) AS (SELECT u, v FROM pair UNION SELECT r.u, p.v FROM reach r JOIN pair p ON p.u = r.v)
-SELECT u AS vec_id, min(v) AS kept_vec_id FROM reach GROUP BY u HAVING min(v) < u
+reach(u, v) AS (SELECT u, v FROM pair UNION SELECT r.u, p.v FROM reach r JOIN pair p ON p.u = r.v),
+links AS (SELECT u, count(DISTINCT e) FILTER (other) AS n FROM pair GROUP BY u),
+root AS (SELECT u, min(v) AS v FROM reach GROUP BY u)
+SELECT vec_id, least(vec_id, coalesce(root.v, vec_id)) AS class_id, coalesce(n, 0) AS n_links FROM embeddings LEFT JOIN root ON root.u = vec_id LEFT JOIN links ON links.u = vec_id
 """
