@@ -1,22 +1,54 @@
-"""Text and JSON as Column builders: all of them stay inside the JVM."""
+"""Text and JSON as Column builders; all but norm_args stay inside the JVM.
+
+White space, digits and letters are those of Unicode. Patterns spell their classes so that the JVM's engine and RE2 read them alike.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import re
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# One explicit class of white space on every engine; Java's \s is the same set without the vertical tab.
-SPACE = r"[ \t\n\r\f]+"
-TIMESTAMP = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?|\b\d{4}-\d{2}-\d{2}\b|\b\d{2}:\d{2}:\d{2}\b"
+from .shipping import ship
+
+_BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WORD = r"\p{L}\p{N}_"
+SPACE = f"[{_BLANKS}]+"
+_SOME = f"[{_BLANKS}]*"
+# Of a calendar day with a time of day and what may follow, of a day alone, of a time alone.
+_STAMPS = (r"D{4}-DD-DD[T ]DD:DD(:DD(\.D+)?)?(Z|[+-]DD:?DD)?", r"\bD{4}-DD-DD\b", r"\bDD:DD:DD\b")
+TIMESTAMP_RE2 = "|".join(_STAMPS).replace("D", r"\p{Nd}")
+TIMESTAMP = TIMESTAMP_RE2.replace(r"\b", f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))")
 PATTERNS = {
-    "emails": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+",
-    "phones": r"\+?[0-9][0-9 \t\n\r\f().-]{5,}[0-9]",
-    "paths": r"([A-Za-z]:)?[\\/]([A-Za-z0-9_.~-]+[\\/])+[A-Za-z0-9_.~-]+",
+    "emails": f"[{_WORD}.+-]+@[{_WORD}-]+\\.[{_WORD}.-]+",
+    "phones": f"\\+?\\p{{Nd}}[\\p{{Nd}}{_BLANKS}().-]{{5,}}\\p{{Nd}}",
+    "paths": f"([A-Za-z]:)?[\\\\/]([{_WORD}.~-]+[\\\\/])+[{_WORD}.~-]+",
 }
-RUNTIMES = ("mlx", "gguf", "ggml", "metal", "cuda", "rocm", "cpu", "vulkan", "vllm", "mps", "coreml", "onnx", "tensorrt", "sycl", "hip")
+RUNTIMES = ("coreml", "cpu", "cuda", "ggml", "gguf", "hip", "metal", "mlx", "mps", "onnx", "rocm", "sycl", "tensorrt", "vllm", "vulkan")
 QUANT = r"^(iq[0-9].*|q[0-9].*|(f|fp|bf|int)[0-9]+|awq|gptq)$"
 
 
+def for_python(pattern: str) -> str:
+    """One of the patterns above as Python's engine spells it."""
+    return pattern.replace(_WORD, r"\w").replace(_BLANKS, r"\s").replace(r"\p{Nd}", r"\d")
+
+
+_CLOCK = re.compile(for_python(TIMESTAMP_RE2))
+
+
+def norm_value(x: Any) -> Any:
+    """Every string of a JSON value without clock readings and with single blanks; keys stay."""
+    if isinstance(x, str):
+        return " ".join(_CLOCK.sub("<ts>", x).split())
+    if isinstance(x, dict):
+        return {k: norm_value(v) for k, v in x.items()}
+    return [*map(norm_value, x)] if isinstance(x, list) else x
+
+
 def norm_text(text: Column) -> Column:
     """Clock readings become <ts>, white space collapses, the ends are trimmed."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, TIMESTAMP, "<ts>"), SPACE, " "))
@@ -41,9 +73,35 @@ def hash_text(text: Column, length: int = 16) -> Column:
     return F.substring(F.sha2(text, 256), 1, length)
 
 
+def _norm_args(text: str) -> str:
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return norm_value(text)
+    return json.dumps(norm_value(value), sort_keys=True, separators=(",", ":"))
+
+
 def norm_args(arguments: Column) -> Column:
-    """Canonical arguments, or normalized text where they aren't JSON."""
-    return F.coalesce(canonical_json(arguments), norm_text(arguments))
+    """Arguments with normalized strings and sorted keys, or normalized text where they aren't JSON. Strings can be nested at any depth, which no
+    expression reaches, so this runs in Arrow batches, once for each distinct text."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map({t: _norm_args(t) for t in texts.dropna().unique()})
+
+    return run(arguments)
+
+
+def norm_args_each(arguments: Column) -> Column:
+    """norm_args() of each text of an array; lambdas can't hold Python."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda texts: None if texts is None else [None if t is None else _norm_args(t) for t in texts])
+
+    return run(arguments)
 
 
 def json_object(text: Column) -> Column:
@@ -62,14 +120,14 @@ def looks_like_error(content: Column) -> Column:
     parsed = F.try_parse_json(content)
     is_object = F.schema_of_variant(parsed).startswith("OBJECT")
     named = _truthy(F.try_variant_get(parsed, "$.error", "variant")) | _truthy(F.try_variant_get(parsed, "$.errors", "variant"))
-    said = content.rlike(r"(?i)^[ \t\n\r\f]*(error|exception|traceback)\b")
-    blank = F.trim(F.coalesce(content, F.lit(""))) == ""
+    said = content.rlike(rf"(?i)^{_SOME}(error|exception|traceback)\b")
+    blank = ~F.coalesce(content, F.lit("")).rlike(f"[^{_BLANKS}]")
     return F.when(blank, False).when(parsed.isNull(), said).otherwise(F.coalesce(is_object & named, F.lit(False)))
 
 
 def strip_think(content: Column) -> Column:
     """Without one leading think block."""
-    return F.regexp_replace(content, r"(?is)^[ \t\n\r\f]*<think>.*?</think>[ \t\n\r\f]*", "")
+    return F.regexp_replace(content, rf"(?is)^{_SOME}<think>.*?</think>{_SOME}", "")
 
 
 def tokens(text: Column) -> Column:
@@ -113,6 +171,17 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor((F.length(text) + 5 * wide + 6 * astral) / 4).cast("int")
 
 
+def redact_secret(text: Column, secret: str) -> Column:
+    """A known secret out of a text; an empty secret changes nothing."""
+    return F.replace(text, F.lit(secret), F.lit("[REDACTED]")) if secret else text
+
+
+def combined_fingerprint(*marks: Column) -> Column:
+    """One fingerprint of those that are there: none gives null, one is itself."""
+    given = F.array_compact(F.array(*marks))
+    return F.when(F.size(given) == 1, given[0]).when(F.size(given) > 1, hash_text(F.array_join(given, "+")))
+
+
 def fingerprint(texts: Column, length: int = 16) -> Column:
     """Aggregate: a hash of a set of texts whatever their order."""
     return hash_text(F.array_join(F.array_sort(F.collect_list(texts)), ","), length)

@@ -1,22 +1,107 @@
 """Clusters of near contexts by embedding: each key, in order, joins the first leader that is close enough, or leads.
 
-Close pairs are found in Spark; who leads is settled in rounds: a key whose close predecessors have all been decided is decided. That is the
+Close pairs come from products of blocks of unit vectors. Vectors are ranged by their coordinate on the axis that spreads them most: unit vectors whose
+cosine is c differ there by no more than sqrt(2 - 2c), so a vector meets only the blocks within that reach. Ranges that hold many vectors are split by
+a hash, so that blocks stay of one size. Who leads is settled in rounds: a key whose close predecessors have all been decided is decided. That is the
 sequential rule, but a round decides every key that no undecided one precedes.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions.shipping import ship
 
+BLOCK = 2048
 
-def close_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, cosine) with a < b of (key, vec)."""
-    unit = vectors.select("key", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
-    a, b = (unit.select(F.col("key").alias(n), F.col("vec").alias(f"v{n}")) for n in "ab")
-    return a.join(b, F.col("a") < F.col("b")).withColumn("cosine", T.cosine(F.col("va"), F.col("vb"))).where(F.col("cosine") >= threshold).select("a", "b", "cosine")
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _axis(vectors: DataFrame, length: int) -> int:
+    """The coordinate of the greatest variance; each task sends one row of sums."""
+
+    def sums(batches):
+        n, total = 0, np.zeros((2, length))
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0))
+                n, total = n + len(x), total + np.stack([x.sum(0), (x * x).sum(0)])
+        yield pa.RecordBatch.from_pydict({"n": [n], "s": [total.ravel().tolist()]})
+
+    got = vectors.select("unit").mapInArrow(sums, "n bigint, s array<double>").collect()
+    n = max(1, sum(r["n"] for r in got))
+    one, two = np.sum([np.array(r["s"]).reshape(2, -1) for r in got], axis=0) / n
+    return int(np.argmax(two - one * one))
+
+
+def _pairs(vectors: DataFrame, length: int, threshold: float, block: int) -> DataFrame:
+    axis = _axis(vectors, length)
+    placed = vectors.withColumn("x", F.get("unit", F.lit(axis)))
+    n = placed.count()
+    ranges = max(1, -(-n // block))
+    cuts = placed.select(F.percentile_approx("x", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else []
+    edges = np.unique(np.array(cuts or [], float))
+
+    def count(batches):
+        total = np.zeros(len(edges) + 1, np.int64)
+        for batch in batches:
+            total += np.bincount(np.searchsorted(edges, batch.column(0).to_numpy(), "right"), minlength=len(total))
+        yield pa.RecordBatch.from_pydict({"c": [total.tolist()]})
+
+    sizes = np.sum([np.array(r["c"]) for r in placed.select("x").mapInArrow(count, "c array<bigint>").collect()], axis=0)
+    split = np.maximum(1, -(-sizes // block)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(split)])
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
+
+    def send(batches):
+        for batch in batches:
+            x, h = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            r = np.searchsorted(edges, x, "right")
+            own = base[r] + h % split[r]
+            low, high = base[np.searchsorted(edges, x - reach, "right")], base[np.searchsorted(edges, x + reach, "right") + 1]
+            times = high - low
+            row = np.repeat(np.arange(len(x)), times)
+            to = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[row], to)), pa.array(np.maximum(own[row], to)), pa.array(own[row]), batch.column(0).take(take), batch.column(1).take(take)], ["p", "q", "own", "key", "unit"])
+
+    kind = vectors.schema["key"].dataType.simpleString()
+    sent = placed.select("key", "unit", "x", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("h")).mapInArrow(send, f"p bigint, q bigint, own bigint, key {kind}, unit array<double>")
+
+    def product(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        own, keys, x = table.column("own").to_numpy(), table.column("key").combine_chunks(), _matrix(table.column("unit").combine_chunks())
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        i, j = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        cosine = x[i] @ x[j].T
+        a, b = np.nonzero(np.triu(cosine >= threshold, 1) if p == q else cosine >= threshold)
+        return pa.table([keys.take(pa.array(i[a])), keys.take(pa.array(j[b])), pa.array(cosine[a, b])], ["u", "v", "cosine"])
+
+    met = sent.groupBy("p", "q").applyInArrow(product, f"u {kind}, v {kind}, cosine double")
+    return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "cosine")
+
+
+def close_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, cosine) with a < b of (key, vec), for a threshold above 0. Keys are distinct. Empty vectors, those of length zero and pairs of different
+    length have a cosine of 0, so they are in no pair."""
+    if not threshold > 0:
+        raise ValueError("the threshold is above 0")
+    ship(vectors.sparkSession)
+    wide = vectors.select("key", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    usable = wide.withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf"))).select("key", F.transform("vec", lambda x: x / F.col("norm")).alias("unit"))
+    lengths = sorted(r[0] for r in usable.select(F.size("unit")).distinct().collect())
+    out = None
+    for n in lengths:
+        some = _pairs(usable.where(F.size("unit") == n), n, threshold, block)
+        out = some if out is None else out.unionByName(some)
+    kind = vectors.schema["key"].dataType.simpleString()
+    return out if out is not None else vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cosine double")
 
 
 def leaders(vectors: DataFrame, threshold: float) -> DataFrame:
@@ -30,13 +115,25 @@ def leaders(vectors: DataFrame, threshold: float) -> DataFrame:
         before = pairs.join(open_.select(F.col("key").alias("b")), "b").join(lead, "a", "left").join(open_.select(F.col("key").alias("a"), F.lit(True).alias("waits")), "a", "left")
         state = before.groupBy("b").agg(F.min(F.when(F.col("leads"), F.col("a"))).alias("first"), F.min(F.when(F.col("waits"), F.col("a"))).alias("wait"))
         now = open_.join(state.withColumnRenamed("b", "key"), "key", "left")
-        ready = now.where("wait IS NULL OR first < wait").select("key", F.coalesce("first", "key").alias("leader"))
-        ready = _cut(ready)
+        ready = _cut(now.where("wait IS NULL OR first < wait").select("key", F.coalesce("first", "key").alias("leader")))
         decided = _cut(decided.unionByName(ready))
         open_ = _cut(open_.join(ready.select("key"), "key", "left_anti"))
     return decided
 
 
+def near_clusters(contexts: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(context_key, cluster) for mining.mine(): the vectors are (context_key, vec). Contexts without a vector stay clusters of their own."""
+    own = contexts.select("context_key").distinct()
+    led = leaders(vectors.join(own, "context_key", "left_semi").select(F.col("context_key").alias("key"), "vec"), threshold)
+    return own.join(led.withColumnRenamed("key", "context_key"), "context_key", "left").select("context_key", F.coalesce("leader", "context_key").alias("cluster"))
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint where the session names a folder for it; a short loop without one keeps its plan."""
-    return df if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            return df
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()

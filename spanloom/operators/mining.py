@@ -34,9 +34,9 @@ def context_key(norm: Column, tools: Column) -> Column:
 
 
 def context_tokens(messages: Column, tools: Column) -> Column:
-    """A quarter of the length of messages and tools as spaced JSON. raw has no blanks, so those that a spaced text has are counted in: one after
-    each comma and colon between values; what stands inside strings counts too, which errs towards more."""
-    spaced = lambda xs: F.array_join(F.transform(xs, lambda x: F.regexp_replace(F.regexp_replace(x["raw"], '":', '": '), '([\\]}"0-9a-z]),', "$1, ")), ", ")
+    """A quarter of the length of messages and tools as spaced JSON. raw has no blanks, so a blank is counted for each comma and colon outside strings."""
+    bare = lambda raw: F.regexp_replace(F.regexp_replace(raw, r"\\.", ""), '"[^"]*"', "")
+    spaced = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat(x["raw"], F.regexp_replace(bare(x["raw"]), "[^,:]", ""))), ", ")
     return T.estimated_tokens(F.concat(F.lit('{"messages": ['), spaced(messages), F.lit('], "tools": ['), spaced(tools), F.lit("]}")))
 
 
@@ -167,7 +167,7 @@ def _reference(category: str, calls: list, tools: list[str]) -> str:
 def freeze(sampled: DataFrame, stitched: DataFrame, config: Config, source: Column, mined_at: Column) -> DataFrame:
     """The mined table. Arguments in the context are always redacted; content only by patterns, without which a row is sensitive."""
     ship(sampled.sparkSession)
-    patterns = [(n[:-1], T.PATTERNS[n]) for n in config.redact_patterns]
+    patterns = [(n[:-1], T.for_python(T.PATTERNS[n])) for n in config.redact_patterns]
 
     @F.pandas_udf("struct<messages:array<string>,reference:string>")
     def redacted(category: pd.Series, messages: pd.Series, tools: pd.Series, calls: pd.Series) -> pd.DataFrame:

@@ -77,19 +77,30 @@ def _greedy(rows: list[tuple]) -> Iterator[str]:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Labelled tails are open from the start, which only a walk can follow. A prefix has the same first message, so that walks are independent by
-    first message; a labelled session goes where its last exchange belongs."""
+    """Labelled tails are open from the start, which only a walk can follow. Nodes are the unlabelled lists of messages and the tails; all nodes of which
+    one is a prefix of another share their shortest prefix that is a node. So walks are independent by that prefix, and those without a labelled tail
+    are stitched by joins. A shared system prompt is no node, unless it was sent alone."""
     ship(rows.sparkSession)
-    keys = F.coalesce(F.get("norm", F.lit(0)), F.lit(""))
-    order = F.struct(F.size("norm"), "ts", "line_no", "file_ord")
-    place = F.when(F.col("session_id").isNull(), keys).otherwise(F.max_by(keys, order).over(Window.partitionBy("session_id")))
+    order = Window.partitionBy("session_id").orderBy(F.size("norm").desc(), F.desc("ts"), F.desc("line_no"), F.desc("file_ord"))
+    rows = rows.withColumn("__chain", chain(F.col("norm"))).withColumn("__key", F.element_at("__chain", -1)).withColumn("__tail", F.col("session_id").isNotNull() & (F.row_number().over(order) == 1))
+    part = rows.where(F.col("session_id").isNull() | F.col("__tail"))
+    nodes = part.groupBy("__key").agg(F.first("__chain").alias("chain"))
+    each = nodes.select("__key", F.posexplode("chain").alias("k", "prefix"))
+    place = each.join(nodes.select(F.col("__key").alias("prefix")), "prefix").groupBy("__key").agg(F.min_by("prefix", "k").alias("__place"))
+    part = part.join(place, "__key").drop("__chain", "__key", "__tail")
+    walked = part.where("session_id IS NOT NULL").select("__place").distinct().withColumn("__walk", F.lit(True))
+    part = part.join(walked, "__place", "left")
+    kept = [f.name for f in rows.schema.fields if not f.name.startswith("__")]
+    schema = rows.select(*kept).schema
 
     def run(table: pa.Table) -> pa.Table:
         at = table.column_names.index("session_id")
         found = _greedy([*zip(*(table.column(c).to_pylist() for c in ("session_id", "norm", "ts", "file_ord", "line_no")))])
         return table.drop_columns(["__place"]).set_column(at, "session_id", pa.array([*found], table.schema.field(at).type))
 
-    return rows.withColumn("__place", F.md5(place)).groupBy("__place").applyInArrow(run, rows.schema)
+    walks = part.where("__walk").select(*kept, "__place").groupBy("__place").applyInArrow(run, schema)
+    plain = _unlabelled(part.where("__walk IS NULL").select(*kept)).select(*kept)
+    return rows.where(F.col("session_id").isNotNull() & ~F.col("__tail")).select(*kept).unionByName(plain).unionByName(walks)
 
 
 def with_turns(rows: DataFrame) -> DataFrame:
@@ -130,7 +141,8 @@ def with_evidence(sessions: DataFrame) -> DataFrame:
     walked by length: the first with a new user turn decides, by whether it repeats the last one; before it, the same tool with other arguments
     is a retry.
     """
-    pairs = extensions(sessions, ["messages", "response"])
+    args = T.norm_args_each(F.transform("response.tool_calls", lambda c: c["arguments"]))
+    pairs = extensions(sessions.withColumn("args", args), ["messages", "response", "args"])
     new = F.slice("e_messages", F.size("a_messages") + 1, F.greatest(F.size("e_messages") - F.size("a_messages"), F.lit(0)))
     call = F.get("a_response.tool_calls", F.lit(0))
     users = F.filter(new, lambda m: m["role"] == "user")
@@ -140,7 +152,7 @@ def with_evidence(sessions: DataFrame) -> DataFrame:
         "session_id", "a_turn", F.size("e_norm").alias("n"), "e_turn",
         (F.size(users) > 0).alias("has_user"), F.get(users, F.lit(0))["norm_content"].alias("user"),
         F.exists(new, lambda m: (m["role"] == "assistant") & F.array_contains(m["call_names"], call["name"])).alias("fed"), (F.size(results) > 0).alias("has_result"), result["content"].alias("result"),
-        F.exists("e_response.tool_calls", lambda c: (c["name"] == call["name"]) & (T.norm_args(c["arguments"]) != T.norm_args(call["arguments"]))).alias("retry"),
+        F.exists(F.zip_with("e_response.tool_calls", "e_args", lambda c, x: (c["name"] == call["name"]) & (x != F.get("a_args", F.lit(0)))), lambda x: x).alias("retry"),
         F.exists(users, lambda m: m["norm_content"].eqNullSafe(last_user(F.col("a_messages")))).alias("again"), last_user(F.col("a_messages")).alias("asked"),
     )
     fields = ["n", "e_turn", "has_user", "user", "fed", "has_result", "result", "retry"]

@@ -33,8 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-SPACES = "'[ \\t\\n\\r\\f]+'"
-TS = T.TIMESTAMP
+SPACES = f"'{T.SPACE}'"
+TS = T.TIMESTAMP_RE2
 
 
 def norm_sql(x: str) -> str:

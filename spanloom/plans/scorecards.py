@@ -117,8 +117,7 @@ def error_derived_negatives(spark, d):
 @query(f"WITH {_DAYS} SELECT coalesce(bool_and(error IS NOT NULL), false) AS all_errored FROM rates")
 def all_errored_guard(spark, d):
     """Over all events; the SQL form reads one day of a month."""
-    r = scoring.pass_rates(_samples(spark, d))
-    return r.agg(F.coalesce(F.bool_and(F.coalesce(F.col("error") != "", F.lit(False))), F.lit(False)).alias("all_errored"))
+    return spark.createDataFrame([(scoring.all_errored(scoring.pass_rates(_samples(spark, d))),)], "all_errored boolean")
 
 
 # --- comparison ---
@@ -221,33 +220,36 @@ UNION ALL SELECT id, 'format_adherence', NULL, 0 FROM (VALUES ('format_yes'), ('
 )
 def battery_cross_product(spark, d):
     """The battery of a toolset: tools times templates."""
+    return probes.derive(spark, _brand_tools(spark, d)).select("id", "capability", "expected_tool", F.size("tools").alias("n_tools"))
+
+
+def _brand_tools(spark, d):
     names = [r[0] for r in table(spark, d, "part").select("p_brand").distinct().collect()]
-    tools = [{"type": "function", "function": {"name": n, "description": f"Looks up {n}.", "parameters": {"type": "object", "properties": {"q": {"type": "string"}}}}} for n in names]
-    return probes.derive(spark, tools).select("id", "capability", "expected_tool", F.size("tools").alias("n_tools"))
+    return [{"type": "function", "function": {"name": n, "description": f"Looks up {n}.", "parameters": {"type": "object", "properties": {"q": {"type": "string"}}}}} for n in names]
 
 
-@query("SELECT DISTINCT p_brand AS name, false AS filler FROM part UNION ALL SELECT 'filler_tool_' || lpad(CAST(k AS VARCHAR), 2, '0'), true FROM generate_series(0, 14) AS g(k)")
+@query(
+    """WITH t AS (SELECT DISTINCT p_brand AS name FROM part), offered AS (SELECT name FROM t UNION ALL SELECT 'filler_tool_' || lpad(CAST(k AS VARCHAR), 2, '0') FROM generate_series(0, 14) AS g(k))
+SELECT 'needle_in_tools::' || t.name AS id, offered.name AS name, CAST(row_number() OVER (PARTITION BY t.name ORDER BY offered.name) AS INTEGER) AS place FROM t, offered"""
+)
 def needle_padding(spark, d):
-    own = table(spark, d, "part").select(F.col("p_brand").alias("name")).distinct().withColumn("filler", F.lit(False))
-    pad = spark.range(probes.PADDING).select(F.concat(F.lit("filler_tool_"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("name"), F.lit(True).alias("filler"))
-    return own.unionByName(pad)
+    """The tools that each needle check offers, padding among them, in their order."""
+    found = probes.derive(spark, _brand_tools(spark, d)).where("capability = 'needle_in_tools'")
+    return found.select("id", F.posexplode("tools").alias("at", "t")).select("id", F.col("t.name").alias("name"), (F.col("at") + 1).alias("place"))
 
 
-_BUCKET = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(p_name), ''), lambda h: CAST(strpos('0123456789abcdef', h) - 1 AS BIGINT))), lambda acc, h: (acc * 16 + h) % 1000)"
+_BUCKET = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(id), ''), lambda h: CAST(strpos('0123456789abcdef', h) - 1 AS BIGINT))), lambda acc, h: (acc * 16 + h) % 1000)"
 
 
 @query(
-    f"""WITH p AS (SELECT p_partkey, p_brand, {_BUCKET} AS b, p_name FROM part)
-SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY b, p_name, p_partkey) <= floor(CASE p_brand WHEN 'Brand#11' THEN 0.67 WHEN 'Brand#12' THEN 0.33 ELSE 1.0 END * count(*) OVER (PARTITION BY p_brand) + 0.5) AS passes FROM p"""
+    f"""WITH n AS (SELECT p_name || '#' || CAST(p_partkey AS VARCHAR) AS id, p_brand FROM part), p AS (SELECT id, p_brand, {_BUCKET} AS b FROM n)
+SELECT id, row_number() OVER (PARTITION BY p_brand ORDER BY b, id) <= floor(CASE p_brand WHEN 'Brand#11' THEN 0.67 WHEN 'Brand#12' THEN 0.33 ELSE 1.0 END * count(*) OVER (PARTITION BY p_brand) + 0.5) AS passes FROM p"""
 )
 def sim_pass_selection(spark, d):
     """Which probes the simulated model passes: the lowest hash buckets, as many as the profile's rate asks for."""
-    from ..functions import text as T
-
-    by = Window.partitionBy("p_brand")
-    rate = F.when(F.col("p_brand") == "Brand#11", 0.67).when(F.col("p_brand") == "Brand#12", 0.33).otherwise(1.0)
-    nth = F.row_number().over(by.orderBy(T.hash_bucket(F.col("p_name")), "p_name", "p_partkey"))
-    return table(spark, d, "part").select("p_partkey", (nth <= F.floor(rate * F.count("*").over(by) + 0.5)).alias("passes"))
+    rates = spark.createDataFrame([("Brand#11", 0.67), ("Brand#12", 0.33)], "capability string, rate double")
+    battery = table(spark, d, "part").select(F.concat_ws("#", "p_name", F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("capability"))
+    return simulate.passing(battery, rates).select("id", "passes")
 
 
 @query()
@@ -289,22 +291,22 @@ def toolset_health(spark, d):
 
 @query(
     """WITH w AS (SELECT event_type AS tool, CAST(json_extract(props, '$.k') AS BIGINT) AS k, ts FROM events),
-by_tool AS (SELECT tool, count(*) AS n, count(*) FILTER (k % 4 <> 0) AS stale FROM w WHERE day(ts) < 8 GROUP BY 1)
+by_tool AS (SELECT tool, count(*) AS n, count(*) FILTER (k % 4 <> 0) AS stale FROM w GROUP BY 1)
 SELECT 'warn' AS level, 'schema-drift' AS code, 'the schema of ' || tool || ' changed since ' || CAST(stale AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) || ' checks' AS message FROM by_tool WHERE tool <> 'click' AND stale > 0
 UNION ALL SELECT 'error', 'tool-removed', tool || ' is gone, but ' || CAST(n AS VARCHAR) || ' checks use it' FROM by_tool WHERE tool = 'click'"""
 )
 def schema_drift(spark, d):
-    """Checks of the first week against live schemas: one tool is gone, and three in four checks were recorded with another schema."""
+    """Checks against live schemas: one tool is gone, and three in four checks were recorded with another schema."""
     live_schema, old = json.dumps({"type": "object", "required": ["a", "b"]}), {0: json.dumps({"required": ["b", "a"], "type": "object"})}
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
     e = table(spark, d, "events")
     live = e.select(F.col("event_type").alias("name")).where("event_type <> 'click'").distinct().withColumn("parameters", F.lit(live_schema))
-    frozen = e.where(F.dayofmonth("ts") < 8).select(F.col("event_type").alias("tool"), F.when(k % 4 == 0, F.lit(old[0])).otherwise(F.concat(F.lit('{"maximum": '), k.cast("string"), F.lit("}"))).alias("schema"))
+    frozen = e.select(F.col("event_type").alias("tool"), F.when(k % 4 == 0, F.lit(old[0])).otherwise(F.concat(F.lit('{"maximum": '), k.cast("string"), F.lit("}"))).alias("schema"))
     return health.drift(live, frozen)
 
 
-@query("SELECT props, count(*) AS asked, count(DISTINCT event_type) AS answers FROM events GROUP BY 1")
+@query("SELECT event_id, substr(md5(props), 1, 8) AS response FROM events")
 def request_memo(spark, d):
-    """Equal requests are asked once: the distinct requests, and how often each would have been sent."""
+    """Equal requests are asked once: many recorded answers to a request, one for each check that makes it."""
     e = table(spark, d, "events")
-    return e.groupBy("props").agg(F.count("*").alias("asked"), F.count_distinct("event_type").alias("answers"))
+    return scoring.answer(e.select("event_id", "props"), e.select("props", F.substring(F.md5("props"), 1, 8).alias("response")), ["props"]).select("event_id", "response")

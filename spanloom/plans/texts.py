@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .base import norm_sql, query, table
+from ..operators import mining
+from .base import EXCHANGES_SQL, exchanges, norm_sql, query, table
 
 
 @query(f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents")
@@ -34,10 +35,19 @@ def exact_dedup_clusters(spark, d):
     return n.groupBy("context_key").agg(F.count("*").alias("members"), F.min("doc_id").alias("representative"))
 
 
-@query("SELECT doc_id, CAST(length(text) // 4 AS BIGINT) AS tokens, length(text) // 4 > 512 AS over_cap FROM documents")
+@query(
+    f"""WITH {EXCHANGES_SQL},
+j AS (SELECT conv_id, at_turn, '{{"messages": [' || array_to_string(list_transform(saids, lambda s, k: '{{"content": ' || CAST(to_json(s) AS VARCHAR) || ', "role": ' || CAST(to_json(roles[k]) AS VARCHAR) || '}}'), ', ') || '], "tools": [{{"a": [1, 2], "name": "x,y:z"}}]}}' AS text FROM ex),
+n AS (SELECT *, length(text) + 5 * length(regexp_replace(text, '[\\x00-\\x7f]', '', 'g')) + 6 * length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10ffff}}]', '', 'g')) AS chars FROM j)
+SELECT conv_id, at_turn, CAST(chars // 4 AS INTEGER) AS tokens, CASE WHEN at_turn % 5 = 4 THEN 'forced_tool_choice' WHEN chars // 4 > 512 THEN 'over_token_cap' END AS reason FROM n"""
+)
 def token_cap_filter(spark, d):
-    tokens = F.call_function("div", F.length("text"), F.lit(4))
-    return table(spark, d, "documents").select("doc_id", tokens.cast("long").alias("tokens"), (tokens > 512).alias("over_cap"))
+    """What can be mined: no forced choices, no contexts beyond the cap."""
+    raw = F.transform("messages", lambda m: F.struct(F.to_json(F.struct(m["said"].alias("content"), m["role"].alias("role"))).alias("raw")))
+    tools = F.array(F.struct(F.lit('{"a":[1,2],"name":"x,y:z"}').alias("raw")))
+    rows = exchanges(spark, d).select("conv_id", F.col("at").alias("at_turn"), raw.alias("messages"), tools.alias("tools"), F.when(F.col("at") % 5 == 4, "required").otherwise("auto").alias("tool_choice"))
+    marked = mining.filter_mineable(rows, mining.Config(max_context_tokens=512))
+    return marked.select("conv_id", "at_turn", mining.context_tokens(F.col("messages"), F.col("tools")).alias("tokens"), F.col("skip_reason").alias("reason"))
 
 
 def _scrub_sql(column: str, names: list[str]) -> str:
@@ -64,7 +74,7 @@ def redact_page_paths(spark, d):
     return table(spark, d, "pages").select("url", T.scrub(F.col("url"), ["paths"]).alias("scrubbed"))
 
 
-@query("SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 2 = 0 THEN ' <think>' || role || chr(10) || 'x</think> ' || text ELSE text END, '(?is)^[ \\t\\n\\r\\f]*<think>.*?</think>[ \\t\\n\\r\\f]*', '') AS answer FROM conversations")
+@query("SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 2 = 0 THEN ' <think>' || role || chr(10) || 'x</think> ' || text ELSE text END, '(?is)^" + T._SOME + "<think>.*?</think>" + T._SOME + "', '') AS answer FROM conversations")
 def strip_think_block(spark, d):
     thought = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" <think>"), "role", F.lit("\nx</think> "), "text")).otherwise(F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", T.strip_think(thought).alias("answer"))
@@ -72,7 +82,7 @@ def strip_think_block(spark, d):
 
 @query("SELECT conv_id, turn, replace(text, 'the', '[REDACTED]') AS redacted FROM conversations")
 def redact_secret(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.replace("text", F.lit("the"), F.lit("[REDACTED]")).alias("redacted"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.redact_secret(F.col("text"), "the").alias("redacted"))
 
 
 _PAYLOAD = "CASE event_id % 5 WHEN 0 THEN '{\"error\": \"' || event_type || '\"}' WHEN 1 THEN 'Error: ' || props WHEN 2 THEN '{\"errors\": []}' WHEN 3 THEN 'no errors here' ELSE props END"
@@ -80,7 +90,7 @@ _PAYLOAD = "CASE event_id % 5 WHEN 0 THEN '{\"error\": \"' || event_type || '\"}
 
 @query(
     f"""WITH p AS (SELECT event_id, {_PAYLOAD} AS content FROM events)
-SELECT event_id, CASE WHEN json_valid(content) THEN coalesce(json_extract_string(content, '$.error') <> '', false) ELSE regexp_matches(content, '(?i)^[ \\t\\n\\r\\f]*(error|exception|traceback)\\b') END AS is_error FROM p"""
+SELECT event_id, CASE WHEN json_valid(content) THEN coalesce(json_extract_string(content, '$.error') <> '', false) ELSE regexp_matches(content, '(?i)^{T._SOME}(error|exception|traceback)\\b') END AS is_error FROM p"""
 )
 def error_payload_flag(spark, d):
     return table(spark, d, "events").select("event_id", T.looks_like_error(F.expr(_PAYLOAD)).alias("is_error"))
@@ -126,7 +136,7 @@ def fingerprint(spark, d):
 def combined_fingerprint(spark, d):
     a = table(spark, d, "nation").agg(T.fingerprint(F.col("n_name")).alias("tools"))
     b = table(spark, d, "region").agg(T.fingerprint(F.col("r_name")).alias("traces"))
-    return a.crossJoin(b).withColumn("combined", T.hash_text(F.concat_ws("+", "tools", "traces")))
+    return a.crossJoin(b).withColumn("combined", T.combined_fingerprint(F.col("tools"), F.col("traces")))
 
 
 @query(
@@ -140,12 +150,21 @@ def cosine_pairs(spark, d):
     return close_pairs(v, 0.4).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+walk(i, ids, es, key, leader) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS DOUBLE[][]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+  UNION ALL
+  SELECT i, CASE WHEN at_ IS NULL OR at_ = 0 THEN list_append(ids, vec_id) ELSE ids END, CASE WHEN at_ IS NULL OR at_ = 0 THEN list_append(es, e) ELSE es END, vec_id, CASE WHEN at_ IS NULL OR at_ = 0 THEN vec_id ELSE ids[at_] END
+  FROM (SELECT v.i AS i, w.ids AS ids, w.es AS es, v.vec_id AS vec_id, v.e AS e, list_position(list_transform(w.es, lambda x: list_cosine_similarity(x, v.e) >= 0.4), true) AS at_ FROM walk w JOIN v ON v.i = w.i + 1))
+SELECT key, leader FROM walk WHERE key IS NOT NULL"""
+)
 def leader_clusters(spark, d):
-    """Each vector joins the first leader in key order that is close enough: a sequential rule without an SQL form; tests follow it by hand."""
-    from ..operators.cluster import leaders
+    """Each vector joins the first leader in key order that is close enough."""
+    from ..operators.cluster import near_clusters
 
-    return leaders(table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec")), 0.4)
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("context_key"), F.col("embedding").alias("vec"))
+    return near_clusters(v, v, 0.4).select(F.col("context_key").alias("key"), F.col("cluster").alias("leader"))
 
 
 @query("SELECT p_partkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(p_name), ''), lambda h: CAST(strpos('0123456789abcdef', h) - 1 AS BIGINT))), lambda acc, h: (acc * 16 + h) % 1000) AS bucket FROM part")

@@ -60,92 +60,57 @@ def session_turns(spark, d):
     return sessions.with_turns(exchanges(spark, d)).select("conv_id", F.col("at").alias("at_turn"), "turn")
 
 
-@query(
-    f"""WITH {EXCHANGES_SQL},
-u AS (SELECT *, list_filter(saids, lambda s, k: roles[k] = 'user')[-1] AS asked FROM ex)
-SELECT a.conv_id AS conv_id, a.at_turn AS at_turn, coalesce(bool_or(list_contains(list_filter(b.saids[len(a.norm) + 1:], lambda s, k: b.roles[len(a.norm) + k] = 'user'), a.asked)), false) AS reasked
-FROM u a LEFT JOIN u b ON a.conv_id = b.conv_id AND len(b.norm) > len(a.norm) AND b.norm[1:len(a.norm)] = a.norm GROUP BY ALL"""
-)
-def reask_detection(spark, d):
-    """Whether the last user turn comes again later in the session."""
-    return _evidence(spark, d).select("conv_id", F.col("at").alias("at_turn"), "reasked")
-
-
 def _evidence(spark, d):
-    """Exchanges as the mining code sees them: each assistant turn is also a call of a tool that its place names."""
+    """Exchanges as the mining code sees them: each assistant turn is also a call of a tool that its place names, and the second user turn of four is a
+    tool's result, half of them errors."""
     name = lambda at: F.concat(F.lit("tool"), (at % 2).cast("string"))
-    none, said = F.array().cast("array<string>"), lambda m: m["said"]
-    messages = F.transform("messages", lambda m, k: F.struct(m["role"].alias("role"), said(m).alias("content"), F.lit(None).cast("string").alias("name"), F.when(m["role"] == "assistant", F.array(name(k))).otherwise(none).alias("call_names"), said(m).alias("norm_content")))
-    calls = F.array(F.struct(name(F.size("messages")).alias("name"), F.to_json(F.struct(F.substring("reply", 1, 8).alias("q"))).alias("arguments")))
+    none = F.array().cast("array<string>")
+    result = lambda m, k: (m["role"] == "user") & (k % 4 == 2)
+    said = lambda m, k: F.when(result(m, k) & (F.length(m["said"]) % 2 == 0), F.concat(F.lit("Error: "), m["said"])).otherwise(m["said"])
+    messages = F.transform("messages", lambda m, k: F.struct(F.when(result(m, k), "tool").otherwise(m["role"]).alias("role"), said(m, k).alias("content"), F.lit(None).cast("string").alias("name"), F.when(m["role"] == "assistant", F.array(name(k))).otherwise(none).alias("call_names"), said(m, k).alias("norm_content")))
+    calls = F.array(F.struct(name(F.size("messages")).alias("name"), F.to_json(F.struct(F.substring("reply", 1, 2).alias("q"))).alias("arguments")))
     rows = exchanges(spark, d).withColumn("response", F.struct(F.col("reply").alias("content"), calls.alias("tool_calls"))).withColumn("messages", messages)
     return sessions.with_evidence(sessions.with_turns(rows))
 
 
-# A result stands in for the user turn after a call; the system has no tool turns, so that a session is moved on from when it has them.
-@query(
-    f"""WITH {EXCHANGES_SQL},
+_EVIDENCE = f"""{EXCHANGES_SQL},
+u AS (
+  SELECT *, list_transform(roles, lambda r, k: CASE WHEN r = 'user' AND k % 4 = 3 THEN 'tool' ELSE r END) AS rs, list_filter(saids, lambda s, k: roles[k] = 'user' AND k % 4 <> 3)[-1] AS asked, substr(reply, 1, 2) AS q FROM ex),
 pairs AS (
-  SELECT a.conv_id, a.at_turn, len(b.norm) AS n, b.roles[len(a.norm) + 1:] AS new_roles, b.saids[len(a.norm) + 1:] AS new_saids, list_filter(a.saids, lambda s, k: a.roles[k] = 'user')[-1] AS asked
-  FROM ex a JOIN ex b ON a.conv_id = b.conv_id AND len(b.norm) > len(a.norm) AND b.norm[1:len(a.norm)] = a.norm),
-first_ AS (SELECT conv_id, at_turn, arg_min(new_roles, n) AS roles, arg_min(new_saids, n) AS saids, any_value(asked) AS asked FROM pairs GROUP BY 1, 2)
-SELECT ex.conv_id AS conv_id, ex.at_turn AS at_turn, coalesce(list_contains(f.roles, 'assistant') AND list_contains(f.roles, 'user')
-  AND NOT coalesce(list_filter(f.saids, lambda s, k: f.roles[k] = 'user')[1] = asked, false) AND NOT regexp_matches(list_filter(f.saids, lambda s, k: f.roles[k] = 'user')[1], '(?i)^[ ]*(error|exception|traceback)\\b'), false) AS confirmed
-FROM ex LEFT JOIN first_ f ON f.conv_id = ex.conv_id AND f.at_turn = ex.at_turn"""
-)
-def continuation_confirmed(spark, d):
-    """Whether the talk moved on after a call: the next user turn gives the result back and is no repetition of the question."""
-    e = exchanges(spark, d)
-    s = sessions.with_turns(e)
-    pairs = sessions.extensions(s, ["messages"])
-    new = F.slice("e_messages", F.size("a_messages") + 1, F.greatest(F.size("e_messages") - F.size("a_messages"), F.lit(0)))
-    user = F.get(F.filter(new, lambda m: m["role"] == "user"), F.lit(0))["said"]
-    asked = F.get(F.reverse(F.filter("a_messages", lambda m: m["role"] == "user")), F.lit(0))["said"]
-    near = pairs.select("session_id", F.col("a_turn").alias("turn"), F.size("e_norm").alias("n"), F.struct(F.exists(new, lambda m: m["role"] == "assistant").alias("fed"), user.alias("user"), asked.alias("asked")).alias("p"))
-    near = near.groupBy("session_id", "turn").agg(F.min_by("p", "n").alias("p"))
-    good = F.col("p.fed") & F.col("p.user").isNotNull() & ~F.coalesce(F.col("p.user") == F.col("p.asked"), F.lit(False)) & ~T.looks_like_error(F.col("p.user"))
-    return s.join(near, ["session_id", "turn"], "left").select("conv_id", F.col("at").alias("at_turn"), F.coalesce(good, F.lit(False)).alias("confirmed"))
-
-
-@query(
-    """SELECT event_type AS tool, count(DISTINCT user_id) AS sessions, count(*) AS calls, count(DISTINCT user_id) >= 2 AS agreed FROM events GROUP BY 1"""
-)
-def distinct_session_agreement(spark, d):
-    """Exact distinct counts: an estimate could mint an agreement that isn't there."""
-    e = table(spark, d, "events")
-    return e.groupBy(F.col("event_type").alias("tool")).agg(F.count_distinct("user_id").alias("sessions"), F.count("*").alias("calls"), (F.count_distinct("user_id") >= 2).alias("agreed"))
-
-
-@query(
-    """WITH b AS (SELECT props, event_type, count(DISTINCT user_id) AS n FROM events WHERE event_type IN ('purchase', 'signup', 'error') GROUP BY 1, 2),
-c AS (SELECT props, count(*) FILTER (n >= 21) AS agreeing, max(event_type) FILTER (n >= 21) AS tool, sum(n) AS sessions FROM b GROUP BY 1)
-SELECT props AS context, CAST(agreeing AS BIGINT) AS agreeing, CASE WHEN agreeing = 1 THEN 'confirmed' WHEN agreeing > 1 THEN 'ambiguous' ELSE 'unconfirmed' END AS verdict, CASE WHEN agreeing = 1 THEN tool END AS tool FROM c"""
-)
-def agreement_verdict(spark, d):
-    """A context is confirmed when sessions agree on exactly one tool."""
-    e = table(spark, d, "events").where(F.col("event_type").isin("purchase", "signup", "error"))
-    by = e.groupBy("props", "event_type").agg(F.count_distinct("user_id").alias("n"))
-    some = F.col("n") >= 21
-    c = by.groupBy(F.col("props").alias("context")).agg(F.count_if(some).alias("agreeing"), F.max(F.when(some, F.col("event_type"))).alias("tool"))
-    verdict = F.when(F.col("agreeing") == 1, "confirmed").when(F.col("agreeing") > 1, "ambiguous").otherwise("unconfirmed")
-    return c.select("context", "agreeing", verdict.alias("verdict"), F.when(F.col("agreeing") == 1, F.col("tool")).alias("tool"))
+  SELECT a.conv_id AS conv_id, a.at_turn AS at_turn, len(b.norm) AS n, b.at_turn AS e_turn, len(a.norm) AS la, a.asked AS asked, a.q AS aq, b.q AS eq, (len(b.norm) - len(a.norm)) % 2 = 0 AS same_tool,
+    list_filter(b.saids, lambda s, k: k > len(a.norm) AND b.rs[k] = 'user') AS users, list_filter(b.saids, lambda s, k: k > len(a.norm) AND b.rs[k] = 'tool') AS results,
+    len(list_filter(b.rs, lambda r, k: k > len(a.norm) AND r = 'assistant' AND (k - 1 - len(a.norm)) % 2 = 0)) > 0 AS fed
+  FROM u a JOIN u b ON a.conv_id = b.conv_id AND len(a.norm) < len(b.norm) AND b.norm[1:len(a.norm)] = a.norm),
+first_user AS (SELECT conv_id, at_turn, min(n) AS n FROM pairs WHERE len(users) > 0 GROUP BY 1, 2),
+verdict AS (
+  SELECT p.conv_id AS conv_id, p.at_turn AS at_turn, arg_min(fed AND len(results) > 0 AND length(results[1]) % 2 = 1, p.n) AS near,
+    bool_or(same_tool AND aq <> eq AND (f.n IS NULL OR p.n < f.n)) AS retry, coalesce(bool_or(p.n = f.n AND users[1] = asked), false) AS stuck, bool_or(list_contains(users, asked)) AS again
+  FROM pairs p LEFT JOIN first_user f ON f.conv_id = p.conv_id AND f.at_turn = p.at_turn GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_EVIDENCE} SELECT ex.conv_id AS conv_id, ex.at_turn AS at_turn, coalesce(again, false) AS reasked FROM ex LEFT JOIN verdict v ON v.conv_id = ex.conv_id AND v.at_turn = ex.at_turn")
+def reask_detection(spark, d):
+    """Whether the last user turn comes again later in the session."""
+    return _evidence(spark, d).select("conv_id", F.col("at").alias("at_turn"), "reasked")
 
 
-@query(
-    """SELECT user_id AS session, props AS context, count(*) AS n FROM events GROUP BY 1, 2 HAVING bool_and(event_type IN ('view', 'click')) AND count(*) >= 2"""
-)
-def no_tool_unanimous(spark, d):
-    """Contexts in which nobody ever called: one caller is enough to drop them."""
-    g = table(spark, d, "events").groupBy(F.col("user_id").alias("session"), F.col("props").alias("context"))
-    return g.agg(F.count("*").alias("n"), F.bool_and(F.col("event_type").isin("view", "click")).alias("quiet")).where("quiet AND n >= 2").select("session", "context", "n")
+@query(f"WITH {_EVIDENCE} SELECT ex.conv_id AS conv_id, ex.at_turn AS at_turn, coalesce(near AND NOT retry AND NOT stuck, false) AS confirmed FROM ex LEFT JOIN verdict v ON v.conv_id = ex.conv_id AND v.at_turn = ex.at_turn")
+def continuation_confirmed(spark, d):
+    """Whether a call ran, its result went back without an error, and the talk moved on: not the same tool with other arguments, not the same question."""
+    return _evidence(spark, d).select("conv_id", F.col("at").alias("at_turn"), "confirmed")
 
 
 @query(
-    """SELECT event_type, event_id, user_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY event_type, user_id % 10 ORDER BY value DESC, ts DESC, user_id, event_id) AS INTEGER) AS rank FROM events) WHERE rank <= 8"""
+    """SELECT event_type AS tool, 'c' || CAST(user_id % 10 AS VARCHAR) AS category, event_id, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_type, user_id % 10 ORDER BY CAST(event_id % 7 AS DOUBLE), CAST(json_extract(props, '$.k') AS BIGINT) DESC, ts DESC, CAST(user_id AS VARCHAR), event_id) AS rank FROM events) WHERE rank <= 8"""
 )
 def sample_topk(spark, d):
-    """The per-group sample of mining: at most eight, in a fixed order."""
-    order = Window.partitionBy("event_type", F.col("user_id") % 10).orderBy(F.desc("value"), F.desc("ts"), "user_id", "event_id")
-    return table(spark, d, "events").withColumn("rank", F.row_number().over(order)).where("rank <= 8").select("event_type", "event_id", "user_id", "rank")
+    """The per-group sample of mining: at most eight, the clearest, then the longest, then the latest."""
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    e = table(spark, d, "events").select(F.col("event_type").alias("tool"), F.lit("").alias("toolset"), F.concat(F.lit("c"), (F.col("user_id") % 10).cast("string")).alias("category"), (F.col("event_id") % 7).cast("double").alias("overlap"), k.alias("n_messages"), F.col("ts").alias("turn"), F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("line_no"), F.lit(0).alias("file_ord"), "event_id")
+    got = mining.sample(e, 8)
+    order = Window.partitionBy("tool", "category").orderBy("overlap", F.desc("n_messages"), F.desc("turn"), "session_id", "line_no")
+    return got.select("tool", "category", "event_id", F.row_number().over(order).alias("rank"))
 
 
 @query(
@@ -181,19 +146,48 @@ def _all_calls(spark, d):
     sid = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))
     tool = lambda n: F.struct(F.lit(n).alias("name"), F.lit(f"does {n}").alias("description"), F.lit("{}").alias("parameters"), F.lit("{}").alias("raw"), F.lit(f'"{n}"').alias("norm"))
     return e.select(
-        F.col("props").alias("context_key"), sid.alias("session_id"), F.col("event_id").cast("int").alias("turn"), F.lit(0).alias("file_ord"), F.col("event_id").alias("line_no"), F.lit(False).alias("confirmed"), F.lit(False).alias("reasked"),
+        F.concat_ws("|", "props", (F.col("user_id") % 20).cast("string")).alias("context_key"), sid.alias("session_id"), F.col("event_id").cast("int").alias("turn"), F.lit(0).alias("file_ord"), F.col("event_id").alias("line_no"), F.lit(False).alias("confirmed"), F.lit(False).alias("reasked"),
         F.array("props").alias("norm"), F.array(F.struct(F.lit("user").alias("role"), F.col("props").alias("norm_content"))).alias("messages"), F.array(tool("purchase"), tool("signup")).alias("tools"),
         F.struct(F.when(F.col("event_type").isin("view", "click"), F.lit("said")).alias("content"), F.when(F.col("event_type").isin("view", "click"), F.array().cast("array<struct<name:string,arguments:string>>")).otherwise(F.array(F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments")))).alias("tool_calls")).alias("response"),
     )
 
 
 _CALLS_SQL = """
-m AS (SELECT props, CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS sid, event_id, event_type, event_type IN ('purchase', 'signup', 'error') AS caller, event_type IN ('purchase', 'signup') AS valid FROM events),
+m AS (SELECT props || '|' || CAST(user_id % 20 AS VARCHAR) AS props, CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS sid, event_id, event_type, event_type IN ('purchase', 'signup', 'error') AS caller, event_type IN ('purchase', 'signup') AS valid FROM events),
 named AS (SELECT props, event_type, count(DISTINCT sid) AS n FROM m WHERE valid GROUP BY 1, 2),
 agreed AS (SELECT props, count(*) FILTER (n >= 2) AS agreeing, max(n) FILTER (n >= 2) AS n FROM named GROUP BY 1),
 by_ctx AS (SELECT props, count(*) FILTER (caller) AS callers, count(*) FILTER (valid) AS valids, count(DISTINCT sid) FILTER (valid) AS n_valid, count(DISTINCT sid) FILTER (NOT caller) AS n_quiet FROM m GROUP BY 1)"""
 
 
+_FOUND = f"""{_CALLS_SQL},
+rep AS (
+  SELECT props, arg_min(event_id, (sid, event_id)) AS rep, arg_min(event_id, (sid, event_id)) FILTER (valid) AS rep_valid FROM m GROUP BY 1),
+named_rep AS (SELECT m.props AS props, arg_min(m.event_id, (sid, m.event_id)) AS rep, any_value(m.event_type) AS tool FROM m JOIN named USING (props, event_type) WHERE valid AND named.n >= 2 GROUP BY m.props, m.event_type)"""
+
+
+def _found(spark, d, category):
+    found, _ = mining.candidates(mining.members(_all_calls(spark, d)))
+    return found.where(F.col("category") == category).select(F.col("line_no").alias("event_id"), "tool", "rule", "sessions")
+
+
+@query(f"WITH {_FOUND} SELECT rep_valid AS event_id, e.event_type AS tool, 'schema-validity' AS rule, CAST(n_valid AS INTEGER) AS sessions FROM by_ctx JOIN rep USING (props) JOIN events e ON e.event_id = rep_valid WHERE valids > 0")
+def distinct_session_agreement(spark, d):
+    """Exact distinct counts of sessions: an estimate could mint an agreement that isn't there."""
+    return _found(spark, d, "schema_validity")
+
+
+@query(f"WITH {_FOUND} SELECT named_rep.rep AS event_id, tool, 'min-agreement' AS rule, CAST(agreed.n AS INTEGER) AS sessions FROM agreed JOIN named_rep USING (props) WHERE agreeing = 1")
+def agreement_verdict(spark, d):
+    """A context is confirmed when sessions agree on exactly one tool."""
+    return _found(spark, d, "tool_selection")
+
+
+@query(f"WITH {_FOUND} SELECT rep AS event_id, CAST(NULL AS VARCHAR) AS tool, 'min-agreement-notool' AS rule, CAST(n_quiet AS INTEGER) AS sessions FROM by_ctx JOIN rep USING (props) WHERE callers = 0 AND n_quiet >= 3")
+def no_tool_unanimous(spark, d):
+    """Contexts in which nobody ever called: one caller is enough to drop them."""
+    return _found(spark, d, "no_tool")
+
+
 @query(
     f"""WITH {_CALLS_SQL},
 c AS (
@@ -219,8 +213,11 @@ def mining_reasons(spark, d):
     return reasons
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') = '7' AS retry FROM events WHERE event_type = 'purchase'")
+@query("SELECT event_id, event_type || ' ' || CAST(event_id % 3 AS VARCHAR) AS expected, json_extract_string(props, '$.k') = '7' AND event_type = 'view' AS same FROM events")
 def retry_arguments(spark, d):
-    """Arguments are compared in canonical form, so the order of keys is no retry."""
-    e = table(spark, d, "events").where("event_type = 'purchase'")
-    return e.select("event_id", (T.norm_args(F.col("props")) == T.norm_args(F.lit('{ "k" :  7 }'))).alias("retry"))
+    """Arguments are compared in canonical form: the order of keys, clock readings and blanks inside strings make no difference."""
+    e = table(spark, d, "events")
+    clock, k = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    given = F.concat(F.lit('{ "what" : ["'), F.lit("\u00a0"), clock, F.lit("\\n  "), "event_type", F.lit('"], "k":'), k.cast("string"), F.lit("}"))
+    said = F.concat(F.lit("  "), "event_type", F.lit("\u2003"), F.lit("\u00a0"), (F.col("event_id") % 3).cast("string"))
+    return e.select("event_id", T.norm_args(said).alias("expected"), (T.norm_args(given) == F.lit('{"k":7,"what":["<ts> view"]}')).alias("same"))
