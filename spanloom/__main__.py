@@ -72,7 +72,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             print(json.dumps({"id": r.id, "capability": r.capability, "description": r.description}))
     elif a.command == "ingest":
         config = mining.Config(a.min_agreement, a.min_agreement_notool, a.per_capability, a.max_context_tokens, tuple(x for x in a.redact_patterns.split(",") if x))
-        everything = logs.read_logs(spark, a.logs, a.format)
+        everything = logs.landed(logs.read_logs(spark, a.logs, a.format))
         mined, summary = mining.mine(logs.usable(everything), config)
         files.save_mined(mined, a.out)
         for r in logs.skip_counts(everything).collect():
@@ -121,7 +121,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         tools = probes_frame(spark, json.loads(open(a.tools).read()))
         found = health.toolset_health(tools)
         if a.mined:
-            found = found.unionByName(health.drift(tools.select("name", "parameters"), health.frozen_tools(files.load_mined(spark, a.mined))))
+            found = found.unionByName(health.drift(tools.select("place", "name", "parameters"), health.frozen_tools(files.load_mined(spark, a.mined))))
         rows = found.collect()
         print(report.render_findings(rows))
         return int(any(r.level == "error" or a.strict for r in rows))
@@ -132,7 +132,7 @@ def probes_frame(spark: SparkSession, tools: list) -> DataFrame:
     """Tool definitions as rows; names may come twice, which is for the doctor to say."""
     if not isinstance(tools, list) or not all(isinstance(t, dict) and isinstance(t.get("function"), dict) and t["function"].get("name") for t in tools):
         raise ValueError("a tools file is an array of functions with names")
-    return spark.createDataFrame([(t["function"]["name"], t["function"].get("description", ""), json.dumps(t["function"].get("parameters") or {})) for t in tools], "name string, description string, parameters string")
+    return spark.createDataFrame([(k, t["function"]["name"], t["function"].get("description", ""), json.dumps(t["function"].get("parameters") or {})) for k, t in enumerate(tools)], "place int, name string, description string, parameters string")
 
 
 def main(argv: list[str] | None = None) -> int:

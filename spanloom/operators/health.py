@@ -54,10 +54,12 @@ def toolset_health(tools: DataFrame) -> DataFrame:
 
 
 def drift(live: DataFrame, frozen: DataFrame) -> DataFrame:
-    """(level, code, message) of frozen (tool, schema) rows against the live toolset. Order within unordered arrays is no drift."""
+    """(level, code, message) of frozen (tool, schema) rows against the live toolset. Order within unordered arrays is no drift.
+    Of live tools with one name the first counts, by a column `place` if there is one, otherwise by their schemas."""
     ship(live.sparkSession)
     canonical = canonical_udf()
-    now = live.groupBy("name").agg(F.min("parameters").alias("p")).select(F.col("name").alias("tool"), canonical("p").alias("now"), F.lit(True).alias("there"))
+    place = F.col("place") if "place" in live.columns else F.lit(0)
+    now = live.groupBy("name").agg(F.min_by("parameters", F.struct(place, "parameters")).alias("p")).select(F.col("name").alias("tool"), canonical("p").alias("now"), F.lit(True).alias("there"))
     then = frozen.withColumn("then", canonical(F.coalesce("schema", F.lit("{}"))))
     by = then.join(now, "tool", "left").groupBy("tool").agg(F.count("*").alias("n"), F.count_if(F.col("then") != F.col("now")).alias("stale"), F.bool_or(F.col("there").isNull()).alias("gone"))
     gone = _finding(by.where("gone"), "error", "tool-removed", F.col("tool"), F.lit(" is gone, but "), F.col("n").cast("string"), F.lit(" checks use it"))

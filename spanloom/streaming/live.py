@@ -20,8 +20,8 @@ RETRY_SECONDS, STATE_SECONDS = 300, 86_400
 def tail_logs(spark: SparkSession, folder: str, fmt: str = "auto", files_a_trigger: int = 100) -> DataFrame:
     """Exchanges of a folder of JSONL segments, as they are added."""
     text = spark.readStream.option("maxFilesPerTrigger", files_a_trigger).text(folder)
-    lines = text.select(F.col("_metadata.file_name").alias("source_file"), F.lit(0).alias("file_ord"), F.xxhash64("_metadata.file_name", "value").alias("line_no"), "value")
-    return parse_text(lines, fmt)
+    lines = text.select(F.col("_metadata.file_name").alias("source_file"), F.lit(0).alias("file_ord"), F.col("_metadata.file_block_start").alias("line_no"), "value")
+    return parse_text(lines, fmt, number=True)
 
 
 def write_segments(df: DataFrame, folder: str, checkpoint: str, records_a_file: int = 100_000, **trigger):
