@@ -15,7 +15,7 @@ window over each hash finds the first. Five numbers a run are shuffled, never te
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +78,7 @@ def runs(buf: np.ndarray, offs: np.ndarray, min_chars: int) -> tuple[np.ndarray,
     return row[i], edges[said[i]] - offs[row[i]], until[j] - offs[row[i]], hashes
 
 
-def _ranks(doc: pa.Array, tid: np.ndarray) -> np.ndarray:
+def ranks(doc: pa.Array, tid: np.ndarray) -> np.ndarray:
     """A number for each (doc_id, hash of text), equal for equal ones, in their order, null ids last."""
     coded = doc.dictionary_encode(null_encoding="encode")
     place = np.empty(len(coded.dictionary), np.int64)
@@ -91,7 +91,7 @@ def _ranks(doc: pa.Array, tid: np.ndarray) -> np.ndarray:
     return out
 
 
-def _merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of each owner that touch or overlap as one."""
     order = np.lexsort((start, owner))
     owner, start, end = owner[order], start[order], end[order]
@@ -106,7 +106,7 @@ def _chunk(docs: list[pa.Array], tids: list[np.ndarray], found: list[tuple]) ->
     """The first of equal runs of a chunk, and what the others cover."""
     doc, tid = pa.chunked_array(docs).combine_chunks(), np.concatenate(tids)
     row, start, end, h = (np.concatenate([f[k] for f in found]) for k in range(4))
-    rank = _ranks(doc, tid)
+    rank = ranks(doc, tid)
     some = np.zeros(int(rank.max(initial=0)) + 1, np.int64)
     some[rank] = np.arange(len(rank))  # a row for each rank
     own = rank[row]
@@ -115,7 +115,7 @@ def _chunk(docs: list[pa.Array], tids: list[np.ndarray], found: list[tuple]) ->
     new = np.append(True, h[1:] != h[:-1])[: len(h)]
     head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
     late = ~new & ((own != own[head]) | (start != start[head]))
-    gone = _merged(own[late], start[late], end[late])
+    gone = merged(own[late], start[late], end[late])
     parts = [(h[new], own[new], start[new], end[new]), (mix(gone[0].astype(np.uint64) ^ tid[some[gone[0]]].view(np.uint64) ^ mix(gone[1].astype(np.uint64))), *gone)]
     for k, (key, who, a, b) in enumerate(parts):
         at = some[who]
@@ -160,17 +160,22 @@ def repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return whole.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut"))
 
 
-def _shortened(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """aside(docs) with short, the text without what is to be removed."""
+def _shortened(docs: DataFrame, found: DataFrame, how: str, name: Callable[[Column, Column], Column] = lambda doc, text: F.xxhash64(text)) -> DataFrame:
+    """aside(docs) with short, the text without what is to be removed. name: what tid is, of id and text."""
     doc, text = F.col(named(docs, "doc_id")), F.col(named(docs, "text"))
     side = found.withColumnsRenamed({"doc_id": "d", "tid": "t"})
-    out = aside(docs).join(side, doc.eqNullSafe(F.col("d")) & (F.xxhash64(text) == F.col("t")), how)
+    out = aside(docs).join(side, doc.eqNullSafe(F.col("d")) & (name(doc, text) == F.col("t")), how)
     raw = text.cast("binary")
     begins, ends = F.concat(F.array(F.lit(0).cast("long")), F.col("cut.end")), F.concat(F.col("cut.start"), F.array(F.octet_length(text).cast("long")))
     kept = F.zip_with(begins, ends, lambda a, b: raw.substr((a + 1).cast("int"), (b - a).cast("int")).cast("string"))
     return out.withColumn("short", F.when(F.col("cut").isNull(), text).otherwise(F.array_join(kept, "")))
 
 
+def cut_out(docs: DataFrame, found: DataFrame, name: Callable[[Column, Column], Column]) -> DataFrame:
+    """docs, all rows and columns, each text without the stretches (doc_id, tid, cut) that were found."""
+    return back(out := _shortened(docs, found, "left", name), docs, text=out["short"])
+
+
 def shortened(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, n_chars, n_removed, text) of each document that loses something; n_chars is the length before.
 

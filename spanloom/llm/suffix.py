@@ -1,27 +1,29 @@
 """Suffix-array dedup by a common-prefix-aware distributed merge sort.
 
 A text is a sequence of words between white space. Every passage of `min_tokens` words or more that occurs elsewhere is found by sorting all
-suffixes and looking at neighbours with a common prefix of that length; of each passage the first occurrence stays.
+suffixes that can have a twin and looking at neighbours with a common prefix of that length; of each passage the first occurrence stays.
 
 1. Which suffixes can have such a neighbour? Every window of min_tokens words has a minimizer, the least hash of its runs of `seed_tokens`
    words; equal windows have equal minimizers. Minimizers are counted over the whole corpus, and only suffixes whose minimizer occurs twice take
    part in the sort. This loses nothing: it is the distinguishing-prefix step of distributed string sorting.
-2. Each task names the prefix of length min_tokens of its suffixes by 16 bytes, the minimizer and a hash of the window, sorts them, and sends
-   the sorted run in parts by minimizer. Runs are front-coded: each entry has the number of bytes that it shares with its predecessor and the
-   rest. Neighbouring suffixes share their minimizer, so most entries send the second half only.
+2. Each task sorts its suffixes by their first min_tokens words, as text, and sends a sorted run to each part of the suffixes, by minimizer. A run is
+   front-coded: an entry has the length of the prefix that it shares with its predecessor, and where its words stand in the passages sent along, each of
+   which is there once for all suffixes that begin in it.
 3. Each part merges its runs with a loser tree of strings that keeps, for every loser, its common prefix with the string that beat it: a match
    between different prefix lengths is decided without looking at a byte, and equal lengths are compared beyond it only.
-4. Equal names in the merged order are one passage; all but the first by (doc_id, text hash, place) are repeats. Repeats of consecutive suffixes
-   join to spans.
+4. Neighbours that share all min_tokens words are one passage; all but the first by (doc_id, hash of id and text, place) are repeats. Repeats of
+   consecutive suffixes join to stretches.
 
-Scale: shuffled are the minimizers (one for about 18 words), the texts that have a repeated minimizer, and the front-coded runs, about 12 bytes
-for each suffix that has a twin. The parts are as many as the session's shuffle partitions ask for. A passage that a run holds many times is one
-entry of the merge.
+Scale: of equal suffixes in one run only the first is sent on; the others can't be first anywhere and leave as joined stretches of their document. The same
+holds for minimizers. So a passage that a third of all documents share sends one entry a run to its part, and a part's size follows the number of
+different passages. The number of parts follows the counted minimizers, `PART_SEEDS` each. Shuffled are the minimizers (one for about 18 words), the
+texts that have a repeated one, and the runs, about 4 words for each suffix before they are compressed.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apply_arrow, grams, map_arrow, mix, shuffle_partitions, slices, utf8, whole, words
+from .common import apply_arrow, cut, grams, map_arrow, mix, shuffle_partitions, slices, utf8, whole, words
+from .spans import cut_out, merged, ranks
 
-MIN_TOKENS, SEED_TOKENS, RUN_SUFFIXES = 50, 16, 1 << 20
-NAME = 16
-_NO_ID = (1 << 63) - 1
+MIN_TOKENS, SEED_TOKENS, RUN_SUFFIXES, CHUNK_SEEDS, PART_SEEDS = 50, 16, 1 << 17, 1 << 20, 50_000
 
 
 def minimizers(hashes: np.ndarray, first: np.ndarray, min_tokens: int, seed_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,14 +58,30 @@ def _row_key(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _identity(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("rid"), "text").where("text IS NOT NULL")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text").where("text IS NOT NULL")
 
 
 def seeds(docs: DataFrame, min_tokens: int, seed_tokens: int) -> DataFrame:
-    """(seed, rid, n): the minimizers of each document, with 2 for those whose seed it has more than once."""
+    """(key, known, seed, rid, n): the minimizers of each document, with n = 2 where it has the seed more than once.
+
+    Of a seed that a chunk of a task meets in several documents one row is as good as all to others: it says so by n = 2. The rest are known to be
+    repeated, and are spread by a key of their own.
+    """
+
+    def chunk(found: list[tuple]) -> pa.RecordBatch:
+        seed, rid, n = (np.concatenate([f[k] for f in found]) for k in range(3))
+        order = np.argsort(seed, kind="stable")
+        seed, rid, n = seed[order], rid[order], n[order]
+        new = np.append(True, seed[1:] != seed[:-1])
+        size = np.diff(np.append(np.flatnonzero(new), len(seed)))
+        n[new] = np.where(size > 1, 2, n[new])
+        key = np.where(new, seed, mix(seed ^ mix(rid.view(np.uint64))))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(~new), pa.array(seed.view(np.int64)), pa.array(rid), pa.array(n.astype(np.int32))], ["key", "known", "seed", "rid", "n"])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
+            rids = batch.column(0).to_numpy()
             buf, offs = utf8(batch.column(1))
             for a, b in slices(offs):
                 hashes, first, *_ = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], letters=False)
@@ -75,55 +92,65 @@ def seeds(docs: DataFrame, min_tokens: int, seed_tokens: int) -> DataFrame:
                 if not len(keys):
                     continue
                 every, counts = np.unique(_row_key(each, owner[: len(each)]), return_counts=True)
-                n = np.minimum(counts[np.searchsorted(every, keys)], 2)
                 got = at[index]
-                yield pa.RecordBatch.from_arrays([pa.array(least[got].view(np.int64)), batch.column(0).take(pa.array(owner[got] + a)), pa.array(n.astype(np.int32))], ["seed", "rid", "n"])
+                held.append((least[got], rids[owner[got] + a], np.minimum(counts[np.searchsorted(every, keys)], 2)))
+                size += len(got)
+                if size >= CHUNK_SEEDS:
+                    yield chunk(held)
+                    held, size = [], 0
+        if held:
+            yield chunk(held)
 
-    return map_arrow(docs.select("rid", "text"), run, "seed bigint, rid bigint, n int")
+    return map_arrow(docs.select("rid", "text"), run, "key bigint, known boolean, seed bigint, rid bigint, n int")
 
 
 def repeated_seeds(found: DataFrame) -> DataFrame:
     """(rid, seeds): of each document, the minimizers that occur twice in the corpus. Neighbours in the sorted order tell, so no group is held."""
-    order = Window.partitionBy("seed").orderBy("rid")
-    other = (F.col("n") > 1) | F.lag("seed").over(order).isNotNull() | F.lead("seed").over(order).isNotNull()
+    order = Window.partitionBy("key", "known").orderBy("rid")
+    other = F.col("known") | (F.col("n") > 1) | F.lag("key").over(order).isNotNull() | F.lead("key").over(order).isNotNull()
     return found.withColumn("other", other).where("other").groupBy("rid").agg(F.collect_set("seed").alias("seeds"))
 
 
 # --- sorted runs ---
 
 
-def pack(names: np.ndarray, docs: np.ndarray, rids: np.ndarray, places: np.ndarray) -> bytes:
-    """A front-coded run: names is n x 16 bytes in order; equal names are one entry with several postings."""
-    n = len(names)
-    same = np.zeros((n, NAME), bool)
-    same[1:] = names[1:] == names[:-1]
-    shared = np.where(same.all(1), NAME, same.argmin(1)).astype(np.uint8)
-    rest = names[np.arange(NAME)[None, :] >= shared[:, None]]
-    pairs, ordinal = np.unique(np.stack([docs, rids], 1), axis=0, return_inverse=True)
-    parts = [shared.tobytes(), rest.tobytes(), pairs.tobytes(), ordinal.astype(np.uint32).tobytes(), places.astype(np.uint32).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<3Q", n, len(rest), len(pairs)) + b"".join(parts))
+def shared_prefix(x: bytes, y: bytes, known: int = 0) -> int:
+    """The length of the common prefix, of which `known` bytes are known to be common: whole stretches are compared at once."""
+    n = min(len(x), len(y))
+    if x[known:n] == y[known:n]:
+        return n
+    low, high = known, n  # x[:low] is common, x[:high] isn't
+    while high - low > 1:
+        mid = (low + high) // 2
+        if x[low:mid] == y[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
+def pack(passages: list[bytes], where: np.ndarray, begin: np.ndarray, end: np.ndarray, shared: np.ndarray) -> bytes:
+    """A front-coded run: entry k is passages[where[k]][begin[k]:end[k]], and shares shared[k] bytes with entry k - 1."""
+    lengths = np.array([len(x) for x in passages], np.uint32)
+    arrays = [lengths, where.astype(np.uint32), begin.astype(np.uint32), end.astype(np.uint32), shared.astype(np.uint32)]
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<2Q", len(passages), len(where)) + b"".join(x.tobytes() for x in arrays) + b"".join(passages))
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(names, shared, docs, rids, places) of a run."""
+def unpack(blob: bytes) -> tuple[list[bytes], list[int]]:
+    """(entries, shared prefixes) of a run."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, n_rest, n_pairs = struct.unpack_from("<3Q", raw)
-    at = 24
+    n_passages, n = struct.unpack_from("<2Q", raw)
+    at = 16
 
-    def take(kind, count: int) -> np.ndarray:
+    def take(count: int) -> np.ndarray:
         nonlocal at
-        out = np.frombuffer(raw, kind, count, at)
-        at += out.nbytes
+        out = np.frombuffer(raw, np.uint32, count, at).astype(np.int64)
+        at += 4 * count
         return out
 
-    shared, rest, pairs = take(np.uint8, n), take(np.uint8, n_rest), take(np.int64, 2 * n_pairs).reshape(-1, 2)
-    ordinal, places = take(np.uint32, n), take(np.uint32, n)
-    names = np.zeros((n, NAME), np.uint8)
-    names[np.arange(NAME)[None, :] >= shared[:, None]] = rest
-    for k in range(NAME):  # a shared byte is that of the last entry which sent it
-        sent = np.maximum.accumulate(np.where(shared <= k, np.arange(n), 0))
-        names[:, k] = names[sent, k]
-    return names, shared, pairs[ordinal, 0], pairs[ordinal, 1], places
+    lengths, where, begin, end, shared = take(n_passages), take(n), take(n), take(n), take(n)
+    start = at + np.concatenate([[0], np.cumsum(lengths)])[where]
+    return [raw[i:j] for i, j in zip((start + begin).tolist(), (start + end).tolist())], shared.tolist()
 
 
 def merge(runs: list[list[bytes]], shared: list[list[int]]) -> list[list[int]]:
@@ -150,10 +177,8 @@ def merge(runs: list[list[bytes]], shared: list[list[int]]) -> list[list[int]]:
         p, q = prefix[a], prefix[b]
         if p != q:
             return (a, b) if p > q else (b, a)
-        n = len(x)
-        while p < n and x[p] == y[p]:
-            p += 1
-        if p == n or x[p] < y[p]:
+        p = shared_prefix(x, y, p)
+        if x[p:] <= y[p:]:
             prefix[b] = p
             return a, b
         prefix[a] = p
@@ -169,10 +194,10 @@ def merge(runs: list[list[bytes]], shared: list[list[int]]) -> list[list[int]]:
             losers[width + j] = lose
             now.append(win)
         winners = now
-    win, group, begun = winners[0], -1, False
+    win, group, begun, length = winners[0], -1, False, 0
     while text[win] is not None:
-        if not begun or prefix[win] < len(text[win]):
-            group, begun = group + 1, True
+        if not begun or prefix[win] < len(text[win]) or len(text[win]) != length:
+            group, begun, length = group + 1, True, len(text[win])
         i = at[win]
         groups[win][i] = group
         i += 1
@@ -193,10 +218,8 @@ def merge(runs: list[list[bytes]], shared: list[list[int]]) -> list[list[int]]:
                     if p < q:
                         losers[node], win = win, other
                     elif p == q:
-                        n = len(x)
-                        while p < n and x[p] == y[p]:
-                            p += 1
-                        if p == n or x[p] < y[p]:
+                        p = shared_prefix(x, y, p)
+                        if x[p:] <= y[p:]:
                             prefix[other] = p
                         else:
                             prefix[win] = p
@@ -205,118 +228,172 @@ def merge(runs: list[list[bytes]], shared: list[list[int]]) -> list[list[int]]:
     return groups
 
 
+def _spelled(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words with a blank after each, and where each begins."""
+    sizes = ends - starts
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    out = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
+    step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[step + np.repeat(begin, sizes)] = buf[step + np.repeat(starts, sizes)]
+    return out.tobytes(), np.append(begin, len(out))
+
+
+RUN = "part bigint, run binary, docs array<{kind}>, rids array<bigint>, at array<bigint>, upto array<bigint>, begin array<bigint>, end array<bigint>"
+
+
 def _runs(docs: DataFrame, min_tokens: int, seed_tokens: int, parts: int) -> DataFrame:
-    """(part, run): front-coded sorted runs of the suffixes whose minimizer is repeated."""
-
-    def sort(found: list[tuple]):
-        least, name, doc, rid, place = (np.concatenate([f[k] for f in found]) for k in range(5))
-        order = np.lexsort((place, rid, doc, name, least))
-        least, name, doc, rid, place = least[order], name[order], doc[order], rid[order], place[order]
-        part = (mix(least) % np.uint64(parts)).astype(np.int64)
-        names = np.stack([least, name], 1).astype(">u8").view(np.uint8)
-        out: tuple[list, list] = ([], [])
+    """Front-coded sorted runs of the suffixes whose minimizer is repeated, with whose suffix each entry is; and, without a run, stretches that are known to
+    repeat something. Places are in words (at, upto) and in bytes (begin, end)."""
+    kind = docs.schema["doc_id"].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(kind)
+    names = ["part", "run", "docs", "rids", "at", "upto", "begin", "end"]
+
+    def rows(part: int, run: bytes | None, ids: pa.Array, rids: np.ndarray, *places: np.ndarray) -> pa.RecordBatch:
+        whole_list = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x.astype(np.int64), t))
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([run], pa.binary()), whole_list(ids.cast(id_type), id_type), whole_list(rids, pa.int64()), *[whole_list(x, pa.int64()) for x in places]], names)
+
+    def sort(texts: list[bytes], least: np.ndarray, owner: np.ndarray, places: np.ndarray, where: np.ndarray, inside: np.ndarray, passages: list[bytes], ids: pa.Array, rids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rank = ranks(ids, rids)[owner]
+        order = np.lexsort((places[:, 0], rank))
+        order = np.array(sorted(order.tolist(), key=texts.__getitem__))  # stable: of equal texts the first comes first
+        new = np.array([True, *(texts[a] != texts[b] for a, b in zip(order[1:].tolist(), order[:-1].tolist()))])
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        late = order[~new & ((rank[order] != rank[head]) | (places[order, 0] != places[head, 0]))]
+        if len(late):
+            who, a, b = merged(owner[late], places[late, 0], places[late, 1])
+            at_begin = {(o, p): q for o, p, q in zip(owner[late].tolist(), places[late, 0].tolist(), places[late, 2].tolist())}
+            at_end = {(o, p): q for o, p, q in zip(owner[late].tolist(), places[late, 1].tolist(), places[late, 3].tolist())}
+            c, d = (np.array([known[x] for x in zip(who.tolist(), p.tolist())]) for known, p in ((at_begin, a), (at_end, b)))
+            spread = (mix(rids[who].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            for k in np.unique(spread):
+                own = spread == k
+                yield rows(int(k), None, ids.take(pa.array(who[own])), rids[who[own]], a[own], b[own], c[own], d[own])
+        first = order[new]
+        part = (mix(least[first]) % np.uint64(parts)).astype(np.int64)
         by = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[by], np.arange(parts + 1))
-        for k in range(parts):
-            own = by[edges[k] : edges[k + 1]]
-            if len(own):
-                out[0].append(k)
-                out[1].append(pack(names[own], doc[own], rid[own], place[own]))
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["part", "run"])
+        edges = np.searchsorted(part[by], np.arange(parts + 1)) if parts < len(by) else None
+        for k in np.unique(part):
+            own = first[by[edges[k] : edges[k + 1]] if edges is not None else np.flatnonzero(part == k)]
+            strings = [texts[i] for i in own.tolist()]
+            shared = np.array([0, *(shared_prefix(x, y) for x, y in zip(strings, strings[1:]))])
+            used, place = np.unique(where[own], return_inverse=True)
+            blob = pack([passages[i] for i in used.tolist()], place, inside[own], inside[own] + np.array([len(x) for x in strings]), shared)
+            yield rows(int(k), blob, ids.take(pa.array(owner[own])), rids[owner[own]], *places[own].T)
 
     def run(batches):
-        held, size = [], 0
+        held: list[tuple] = []
+        texts: list[bytes] = []
+        passages: list[bytes] = []
+        ids, rids, n_rows = [], [], 0
+
+        def flush():
+            least, owner, places, where, inside = (np.concatenate([h[k] for h in held]) for k in range(5))
+            yield from sort(texts, least, owner, places, where, inside, passages, pa.chunked_array(ids).combine_chunks(), np.concatenate(rids))
+
         for batch in batches:
-            doc, rid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not batch.num_rows:
+                continue
+            ids.append(batch.column(0))
+            rids.append(batch.column(1).to_numpy())
             buf, offs = utf8(batch.column(2))
             lists = batch.column(3)
             flat = lists.flatten().to_numpy().view(np.uint64)
-            per = np.repeat(np.arange(len(doc)), np.diff(np.asarray(lists.offsets)))
+            per = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
             for a, b in slices(offs):
-                hashes, first, *_ = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], letters=False)
+                hashes, first, starts, ends = words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], letters=False)
                 least, ok, _ = minimizers(hashes, first, min_tokens, seed_tokens)
                 owner = np.repeat(np.arange(a, b), np.diff(first))
                 mine = (per >= a) & (per < b)
                 known = np.sort(_row_key(flat[mine], per[mine]))
                 at = np.flatnonzero(ok)
                 key = _row_key(least[at], owner[at])
-                where = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-                at = at[known[where] == key] if len(known) else at[:0]
+                near = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+                at = at[known[near] == key] if len(known) else at[:0]
                 if not len(at):
                     continue
-                name = grams(hashes, min_tokens)[at]
-                held.append((least[at], name, doc[owner[at]], rid[owner[at]], at - first[owner[at] - a]))
-                size += len(at)
-                if size >= RUN_SUFFIXES:
-                    yield sort(held)
-                    held, size = [], 0
+                spelled, begin = _spelled(buf[offs[a] : offs[b]], starts, ends)
+                last = at + min_tokens
+                # A passage is a stretch of suffixes that follow one another under one minimizer.
+                fresh = np.append(True, (np.diff(at) > 1) | (least[at][1:] != least[at][:-1]) | (owner[at][1:] != owner[at][:-1]))
+                number = np.cumsum(fresh) - 1
+                heads = np.flatnonzero(fresh)
+                tails = np.append(heads[1:], len(at)) - 1
+                base = len(passages)
+                passages += [spelled[i:j] for i, j in zip(begin[at[heads]].tolist(), begin[last[tails]].tolist())]
+                texts += [spelled[i:j] for i, j in zip(begin[at].tolist(), begin[last].tolist())]
+                row = owner[at]
+                place = at - first[row - a]
+                edge = offs[row] - offs[a]
+                held.append((least[at], row + n_rows, np.stack([place, place + min_tokens, starts[at] - edge, ends[last - 1] - edge], 1), base + number, begin[at] - begin[at[heads]][number]))
+                if len(texts) >= RUN_SUFFIXES:
+                    yield from flush()
+                    held, texts, passages = [], [], []
+            n_rows += batch.num_rows
+            if not held:
+                ids, rids, n_rows = [], [], 0
         if held:
-            yield sort(held)
-
-    return map_arrow(docs.select("doc", "rid", "text", "seeds"), run, "part int, run binary")
-
-
-def _later(blobs: list[bytes], min_tokens: int) -> tuple[np.ndarray, ...]:
-    """(doc, rid, first doc, start, end) of the runs of repeated suffixes in a part."""
-    texts, shares, entry, docs, rids, places = [], [], [], [], [], []
-    for blob in blobs:
-        names, shared, doc, rid, place = unpack(blob)
-        new = shared < NAME
-        new[0] = True
-        texts.append([x.tobytes() for x in names[new]])
-        shares.append(shared[new].tolist())
-        entry.append(np.cumsum(new) - 1)
-        docs.append(doc)
-        rids.append(rid)
-        places.append(place)
-    groups = merge(texts, shares)
-    group = np.concatenate([np.array(g, np.int64)[e] for g, e in zip(groups, entry)])
-    doc, rid, place = np.concatenate(docs), np.concatenate(rids), np.concatenate(places).astype(np.int64)
-    order = np.lexsort((place, rid, doc, group))
-    group, doc, rid, place = group[order], doc[order], rid[order], place[order]
-    start = np.append(True, group[1:] != group[:-1])
-    head = np.maximum.accumulate(np.where(start, np.arange(len(group)), 0))
-    later = (doc != doc[head]) | (rid != rid[head]) | (place != place[head])
-    first, doc, rid, place = doc[head][later], doc[later], rid[later], place[later]
-    order = np.lexsort((place, first, rid, doc))
-    first, doc, rid, place = first[order], doc[order], rid[order], place[order]
-    if not len(doc):
-        return doc, rid, first, place, place
-    gap = np.append(True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]) | (first[1:] != first[:-1]) | (place[1:] > place[:-1] + 1))
-    begin = np.flatnonzero(gap)
-    end = np.append(begin[1:], len(doc)) - 1
-    return doc[begin], rid[begin], first[begin], place[begin], place[end] + min_tokens
+            yield from flush()
+
+    return map_arrow(docs.select("doc_id", "rid", "text", "seeds"), run, RUN.format(kind=kind.simpleString()))
+
+
+def _later(table: pa.Table) -> pa.Table:
+    """(doc_id, rid, at, upto, begin, end) of the repeated stretches of a part."""
+    table = table.combine_chunks()
+    run = table.column("run").to_pylist()
+    lists = {c: table.column(c).combine_chunks() for c in ("docs", "rids", "at", "upto", "begin", "end")}
+    size = np.diff(np.asarray(lists["rids"].offsets))
+    whose = np.repeat(np.array([r is None for r in run]), size)  # an empty list is no entry
+    doc = lists["docs"].flatten()
+    rid, at, upto, begin, end = (lists[c].flatten().to_numpy() for c in ("rids", "at", "upto", "begin", "end"))
+    known = np.flatnonzero(whose)
+    mine = np.flatnonzero(~whose)
+    late = mine[:0]
+    if len(mine):
+        texts, shares = zip(*(unpack(r) for r in run if r is not None))
+        group = np.concatenate([np.array(g, np.int64) for g in merge([*texts], [*shares])])
+        rank = ranks(doc, rid)[mine]
+        order = np.lexsort((at[mine], rank, group))
+        start = np.append(True, group[order][1:] != group[order][:-1])
+        head = order[np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))]
+        same = (rank[order] == rank[head]) & (at[mine][order] == at[mine][head])
+        late = mine[order[~start & ~same]]
+    keep = pa.array(np.concatenate([known, late]))
+    columns = [pa.array(x).take(keep) for x in (rid, at, upto, begin, end)]
+    return pa.table([doc.take(keep), *columns], ["doc_id", "rid", "at", "upto", "begin", "end"])
 
 
 def spans(docs: DataFrame, min_tokens: int = MIN_TOKENS, seed_tokens: int = SEED_TOKENS) -> DataFrame:
-    """(doc, rid, start, end, first_docs) with every span of words that repeats an earlier passage; the spans of a document don't touch."""
+    """(doc_id, rid, at, upto, begin, end): every stretch that repeats an earlier passage, in words and in bytes; those of a document don't touch."""
     rows = _identity(docs)
-    twice = repeated_seeds(seeds(rows, min_tokens, seed_tokens))
-    parts = 2 * shuffle_partitions(docs.sparkSession)
+    twice = cut(repeated_seeds(seeds(rows, min_tokens, seed_tokens)))
+    n = twice.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), -(-n // PART_SEEDS))
     runs = _runs(rows.join(twice, "rid"), min_tokens, seed_tokens, parts)
-    names = ["doc", "rid", "first_doc", "start", "end"]
-
-    def run(group: pa.Table) -> pa.Table:
-        return pa.table([pa.array(x.astype(np.int64)) for x in _later(group.column("run").to_pylist(), min_tokens)], names)
-
-    pieces = apply_arrow(runs.groupBy("part"), run, ", ".join(f"`{c}` bigint" for c in names))
-    order = Window.partitionBy("doc", "rid").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    pieces = apply_arrow(runs.groupBy("part"), _later, f"doc_id {kind}, rid bigint, at bigint, upto bigint, `begin` bigint, `end` bigint")
+    order = Window.partitionBy("doc_id", "rid").orderBy("at", "upto")
+    reach = F.max("upto").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("at") <= F.col("reach"), 0).otherwise(1)).over(order)
     joined = pieces.withColumn("reach", reach).withColumn("island", island)
-    return joined.groupBy("doc", "rid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("first_doc")).alias("first_docs")).drop("island")
-
-
-def _back(doc: Column) -> Column:
-    return F.when(doc < F.lit(_NO_ID), doc)
+    return joined.groupBy("doc_id", "rid", "island").agg(F.min("at").alias("at"), F.max("upto").alias("upto"), F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")
 
 
 def repeats(docs: DataFrame, min_tokens: int = MIN_TOKENS, seed_tokens: int = SEED_TOKENS) -> DataFrame:
-    """(doc_id, start, end, n_tokens, first_docs): the spans, in words, of each document that repeat an earlier passage.
+    """(doc_id, start, end, n_tokens): the spans, in words, of each document that repeat an earlier passage.
 
     Earlier is by doc_id, nulls last, then by a hash of id and text, then by place; a passage that one document has twice is repeated too. Rows that
     repeat id and text are one document. Texts of fewer than min_tokens words, null and empty ones have no spans. An empty table gives no rows.
     Other columns are not read.
     """
     found = spans(docs, min_tokens, seed_tokens)
-    return found.select(_back(F.col("doc")).alias("doc_id"), "start", "end", (F.col("end") - F.col("start")).alias("n_tokens"), F.transform("first_docs", _back).alias("first_docs"))
+    return found.select("doc_id", F.col("at").alias("start"), F.col("upto").alias("end"), (F.col("upto") - F.col("at")).alias("n_tokens"))
+
+
+def deduplicate(docs: DataFrame, min_tokens: int = MIN_TOKENS, seed_tokens: int = SEED_TOKENS) -> DataFrame:
+    """docs, all rows and columns, each text without the spans of repeats()."""
+    found = spans(docs.select("doc_id", "text"), min_tokens, seed_tokens)
+    cuts = found.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_list(F.struct(F.col("begin").alias("start"), "end"))).alias("cut"))
+    return cut_out(docs, cuts.withColumnsRenamed({"rid": "tid"}), lambda doc, text: F.xxhash64(doc, text))

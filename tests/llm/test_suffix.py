@@ -39,7 +39,7 @@ def test_against_all_windows(spark, make_docs, rng):
     assert covered(rows) == want and len(want) > 2000
     by = {}
     for r in rows:
-        assert r.n_tokens == r.end - r.start >= 50 and all(f <= r.doc_id for f in r.first_docs)
+        assert r.n_tokens == r.end - r.start >= 50
         by.setdefault(r.doc_id, []).append((r.start, r.end))
     for own in by.values():
         own.sort()
@@ -64,19 +64,45 @@ def test_loser_tree_merges_and_groups(runs):
 
 
 def test_runs_survive_packing():
-    rng = np.random.default_rng(3)
-    names = rng.integers(0, 3, (500, 16), dtype=np.uint8)
-    names = names[np.lexsort(names.T[::-1])]
-    names[10:20] = names[10]
-    docs, rids, places = rng.integers(0, 9, (3, 500))
-    got = suffix.unpack(suffix.pack(names, docs, rids, places))
-    assert (got[0] == names).all() and all((a == b).all() for a, b in zip(got[2:], (docs, rids, places)))
-    assert got[1][0] == 0 and got[1][15] == 16
+    passages = [b"one two three four ", b"two three five "]
+    entries = sorted([(0, 0, 8), (0, 4, 14), (1, 0, 10), (1, 4, 15)], key=lambda e: passages[e[0]][e[1] : e[2]])
+    texts = [passages[w][i:j] for w, i, j in entries]
+    shared = [0, *(suffix.shared_prefix(x, y) for x, y in zip(texts, texts[1:]))]
+    got = suffix.unpack(suffix.pack(passages, *(np.array([e[k] for e in entries]) for k in range(3)), np.array(shared)))
+    assert got == (texts, shared)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=6).map(lambda b: bytes(x & 1 for x in b)), st.binary(max_size=6).map(lambda b: bytes(x & 1 for x in b)))
+def test_shared_prefix(x, y):
+    n = 0
+    while n < min(len(x), len(y)) and x[n] == y[n]:
+        n += 1
+    assert all(suffix.shared_prefix(x, y, k) == n for k in range(n + 1))
+
+
+def test_a_passage_in_most_documents(spark, make_docs, rng, monkeypatch):
+    """It sends an entry for each of its suffixes from each run, however many documents have it."""
+    hot = words(rng, 90)
+    texts = [f"a b c d e{k} {hot} f{k} g" for k in range(600)] + [words(rng, 120) for _ in range(50)]
+    docs = make_docs(texts).coalesce(1)
+    rows = suffix._identity(docs)
+    twice = suffix.repeated_seeds(suffix.seeds(rows, 50, 16))
+    runs = suffix._runs(rows.join(twice, "rid").coalesce(1), 50, 16, 3).where("run IS NOT NULL").collect()
+    assert sum(len(r.rids) for r in runs) <= 41 + 600 * 12 and sum(len(set(suffix.unpack(bytes(r.run))[0])) for r in runs) == sum(len(r.rids) for r in runs)
+    assert covered(suffix.repeats(docs).collect()) == {(d, q) for d in range(1, 600) for q in range(5, 95)}
+
+
+def test_removal(spark, rng):
+    p, other = words(rng, 60), words(rng, 70)
+    docs = spark.createDataFrame([("b", f"é {p}\n{other}"), ("a", p.replace(" ", "\t")), ("c", other), (None, None)], "doc_id string, text string")
+    got = {r.doc_id: r.text for r in suffix.deduplicate(docs).collect()}
+    assert got == {"a": p.replace(" ", "\t"), "b": f"é \n{other}", "c": "", None: None}
 
 
 def test_edges(spark, make_docs, rng):
     p = words(rng, 70)
     docs = make_docs([(5, p), (5, p), (None, p), (2, "x " + p), (3, None), (4, ""), (6, words(rng, 40)), (7, words(rng, 20_000) + " " + p)], extra=("rid", "start", "seeds"))
-    got = {(r.doc_id, r.start, r.end, tuple(r.first_docs)) for r in suffix.repeats(docs).collect()}
-    assert got == {(5, 0, 70, (2,)), (None, 0, 70, (2,)), (7, 20_000, 20_070, (2,))}
+    got = {(r.doc_id, r.start, r.end) for r in suffix.repeats(docs).collect()}
+    assert got == {(5, 0, 70), (None, 0, 70), (7, 20_000, 20_070)}
     assert suffix.repeats(docs.limit(0)).count() == 0
