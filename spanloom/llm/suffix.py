@@ -28,13 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import apply_arrow, cut, grams, map_arrow, mix, shuffle_partitions, slices, utf8, whole, words
-from .spans import cut_out, merged, ranks
+from .common import apply_arrow, aside, back, cut, grams, map_arrow, mix, named, shuffle_partitions, slices, utf8, whole, words
+from .spans import merged, ranks
 
-MIN_TOKENS, SEED_TOKENS, RUN_SUFFIXES, CHUNK_SEEDS, PART_SEEDS = 50, 16, 1 << 17, 1 << 20, 50_000
+MIN_TOKENS, SEED_TOKENS, RUN_SUFFIXES, CHUNK_SEEDS, PART_SEEDS = 50, 16, 1 << 17, 1 << 20, 10_000
 
 
 def minimizers(hashes: np.ndarray, first: np.ndarray, min_tokens: int, seed_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,15 +130,15 @@ def shared_prefix(x: bytes, y: bytes, known: int = 0) -> int:
     return low
 
 
-def pack(passages: list[bytes], where: np.ndarray, begin: np.ndarray, end: np.ndarray, shared: np.ndarray) -> bytes:
-    """A front-coded run: entry k is passages[where[k]][begin[k]:end[k]], and shares shared[k] bytes with entry k - 1."""
+def pack(passages: list[bytes], where: np.ndarray, nth: np.ndarray, shared: np.ndarray) -> bytes:
+    """A front-coded run: entry k begins with word nth[k] of passages[where[k]], and shares shared[k] bytes with entry k - 1."""
     lengths = np.array([len(x) for x in passages], np.uint32)
-    arrays = [lengths, where.astype(np.uint32), begin.astype(np.uint32), end.astype(np.uint32), shared.astype(np.uint32)]
+    arrays = [lengths, where.astype(np.uint32), nth.astype(np.uint32), shared.astype(np.uint32)]
     return zstandard.ZstdCompressor(level=1).compress(struct.pack("<2Q", len(passages), len(where)) + b"".join(x.tobytes() for x in arrays) + b"".join(passages))
 
 
-def unpack(blob: bytes) -> tuple[list[bytes], list[int]]:
-    """(entries, shared prefixes) of a run."""
+def unpack(blob: bytes, min_tokens: int) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
+    """(entries of min_tokens words, shared prefixes, where, nth) of a run."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n_passages, n = struct.unpack_from("<2Q", raw)
     at = 16
@@ -148,9 +149,11 @@ def unpack(blob: bytes) -> tuple[list[bytes], list[int]]:
         at += 4 * count
         return out
 
-    lengths, where, begin, end, shared = take(n_passages), take(n), take(n), take(n), take(n)
-    start = at + np.concatenate([[0], np.cumsum(lengths)])[where]
-    return [raw[i:j] for i, j in zip((start + begin).tolist(), (start + end).tolist())], shared.tolist()
+    lengths, where, nth, shared = take(n_passages), take(n), take(n), take(n)
+    text = np.frombuffer(raw, np.uint8, offset=at)
+    word = np.append(0, np.flatnonzero(text == 32) + 1)  # where words begin; a blank ends each
+    first = np.searchsorted(word, np.concatenate([[0], np.cumsum(lengths)]))[where] + nth
+    return [raw[i:j] for i, j in zip((at + word[first]).tolist(), (at + word[first + min_tokens]).tolist())], shared.tolist(), where, nth
 
 
 def merge(runs: list[list[bytes]], shared: list[list[int]]) -> list[list[int]]:
@@ -238,49 +241,44 @@ def _spelled(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byt
     return out.tobytes(), np.append(begin, len(out))
 
 
-RUN = "part bigint, run binary, docs array<{kind}>, rids array<bigint>, at array<bigint>, upto array<bigint>, begin array<bigint>, end array<bigint>"
+RUN = "part bigint, run binary, docs array<{kind}>, rids array<bigint>, at array<bigint>, upto array<bigint>"
 
 
 def _runs(docs: DataFrame, min_tokens: int, seed_tokens: int, parts: int) -> DataFrame:
-    """Front-coded sorted runs of the suffixes whose minimizer is repeated, with whose suffix each entry is; and, without a run, stretches that are known to
-    repeat something. Places are in words (at, upto) and in bytes (begin, end)."""
+    """Front-coded sorted runs of the suffixes whose minimizer is repeated, with the document of each passage and the place of its first word; and,
+    without a run, stretches of words that are known to repeat something."""
     kind = docs.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_type = to_arrow_type(kind)
-    names = ["part", "run", "docs", "rids", "at", "upto", "begin", "end"]
 
-    def rows(part: int, run: bytes | None, ids: pa.Array, rids: np.ndarray, *places: np.ndarray) -> pa.RecordBatch:
-        whole_list = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x.astype(np.int64), t))
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([run], pa.binary()), whole_list(ids.cast(id_type), id_type), whole_list(rids, pa.int64()), *[whole_list(x, pa.int64()) for x in places]], names)
+    def row(part: int, run: bytes | None, ids: pa.Array, *numbers: np.ndarray) -> pa.RecordBatch:
+        one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        lists = [one(ids.cast(id_type), id_type), *[one(pa.array(x.astype(np.int64)), pa.int64()) for x in numbers]]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([run], pa.binary()), *lists], ["part", "run", "docs", "rids", "at", "upto"])
 
-    def sort(texts: list[bytes], least: np.ndarray, owner: np.ndarray, places: np.ndarray, where: np.ndarray, inside: np.ndarray, passages: list[bytes], ids: pa.Array, rids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def sort(texts: list[bytes], least: np.ndarray, owner: np.ndarray, place: np.ndarray, where: np.ndarray, nth: np.ndarray, passages: list[bytes], ids: pa.Array, rids: np.ndarray) -> Iterator[pa.RecordBatch]:
         rank = ranks(ids, rids)[owner]
-        order = np.lexsort((places[:, 0], rank))
+        order = np.lexsort((place, rank))
         order = np.array(sorted(order.tolist(), key=texts.__getitem__))  # stable: of equal texts the first comes first
-        new = np.array([True, *(texts[a] != texts[b] for a, b in zip(order[1:].tolist(), order[:-1].tolist()))])
+        strings = [texts[i] for i in order.tolist()]
+        new = np.array([True, *(x != y for x, y in zip(strings[1:], strings))])
         head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        late = order[~new & ((rank[order] != rank[head]) | (places[order, 0] != places[head, 0]))]
+        late = order[~new & ((rank[order] != rank[head]) | (place[order] != place[head]))]
         if len(late):
-            who, a, b = merged(owner[late], places[late, 0], places[late, 1])
-            at_begin = {(o, p): q for o, p, q in zip(owner[late].tolist(), places[late, 0].tolist(), places[late, 2].tolist())}
-            at_end = {(o, p): q for o, p, q in zip(owner[late].tolist(), places[late, 1].tolist(), places[late, 3].tolist())}
-            c, d = (np.array([known[x] for x in zip(who.tolist(), p.tolist())]) for known, p in ((at_begin, a), (at_end, b)))
-            spread = (mix(rids[who].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            for k in np.unique(spread):
-                own = spread == k
-                yield rows(int(k), None, ids.take(pa.array(who[own])), rids[who[own]], a[own], b[own], c[own], d[own])
+            who, at, upto = merged(owner[late], place[late], place[late] + min_tokens)
+            yield row(int(rids[who[0]]) % parts, None, ids.take(pa.array(who)), rids[who], at, upto)
         first = order[new]
         part = (mix(least[first]) % np.uint64(parts)).astype(np.int64)
         by = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[by], np.arange(parts + 1)) if parts < len(by) else None
-        for k in np.unique(part):
-            own = first[by[edges[k] : edges[k + 1]] if edges is not None else np.flatnonzero(part == k)]
+        starts = np.flatnonzero(np.append(True, np.diff(part[by]) > 0))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(by)]):
+            own = first[by[a:b]]
             strings = [texts[i] for i in own.tolist()]
             shared = np.array([0, *(shared_prefix(x, y) for x, y in zip(strings, strings[1:]))])
-            used, place = np.unique(where[own], return_inverse=True)
-            blob = pack([passages[i] for i in used.tolist()], place, inside[own], inside[own] + np.array([len(x) for x in strings]), shared)
-            yield rows(int(k), blob, ids.take(pa.array(owner[own])), rids[owner[own]], *places[own].T)
+            used, here = np.unique(where[own], return_inverse=True)
+            some = np.zeros(len(used), np.int64)
+            some[here] = own  # an entry of each passage
+            blob = pack([passages[i] for i in used.tolist()], here, nth[own], shared)
+            yield row(int(part[by[a]]), blob, ids.take(pa.array(owner[some])), rids[owner[some]], place[some] - nth[some], np.zeros(0))
 
     def run(batches):
         held: list[tuple] = []
@@ -289,8 +287,8 @@ def _runs(docs: DataFrame, min_tokens: int, seed_tokens: int, parts: int) -> Dat
         ids, rids, n_rows = [], [], 0
 
         def flush():
-            least, owner, places, where, inside = (np.concatenate([h[k] for h in held]) for k in range(5))
-            yield from sort(texts, least, owner, places, where, inside, passages, pa.chunked_array(ids).combine_chunks(), np.concatenate(rids))
+            least, owner, place, where, nth = (np.concatenate([h[k] for h in held]) for k in range(5))
+            yield from sort(texts, least, owner, place, where, nth, passages, pa.chunked_array(ids).combine_chunks(), np.concatenate(rids))
 
         for batch in batches:
             if not batch.num_rows:
@@ -323,10 +321,8 @@ def _runs(docs: DataFrame, min_tokens: int, seed_tokens: int, parts: int) -> Dat
                 base = len(passages)
                 passages += [spelled[i:j] for i, j in zip(begin[at[heads]].tolist(), begin[last[tails]].tolist())]
                 texts += [spelled[i:j] for i, j in zip(begin[at].tolist(), begin[last].tolist())]
-                row = owner[at]
-                place = at - first[row - a]
-                edge = offs[row] - offs[a]
-                held.append((least[at], row + n_rows, np.stack([place, place + min_tokens, starts[at] - edge, ends[last - 1] - edge], 1), base + number, begin[at] - begin[at[heads]][number]))
+                mine = owner[at]
+                held.append((least[at], mine + n_rows, at - first[mine - a], base + number, at - at[heads][number]))
                 if len(texts) >= RUN_SUFFIXES:
                     yield from flush()
                     held, texts, passages = [], [], []
@@ -339,46 +335,53 @@ def _runs(docs: DataFrame, min_tokens: int, seed_tokens: int, parts: int) -> Dat
     return map_arrow(docs.select("doc_id", "rid", "text", "seeds"), run, RUN.format(kind=kind.simpleString()))
 
 
-def _later(table: pa.Table) -> pa.Table:
-    """(doc_id, rid, at, upto, begin, end) of the repeated stretches of a part."""
+def _later(table: pa.Table, min_tokens: int) -> pa.Table:
+    """(doc_id, rid, at, upto) of the repeated stretches of a part."""
     table = table.combine_chunks()
     run = table.column("run").to_pylist()
-    lists = {c: table.column(c).combine_chunks() for c in ("docs", "rids", "at", "upto", "begin", "end")}
-    size = np.diff(np.asarray(lists["rids"].offsets))
-    whose = np.repeat(np.array([r is None for r in run]), size)  # an empty list is no entry
-    doc = lists["docs"].flatten()
-    rid, at, upto, begin, end = (lists[c].flatten().to_numpy() for c in ("rids", "at", "upto", "begin", "end"))
-    known = np.flatnonzero(whose)
-    mine = np.flatnonzero(~whose)
-    late = mine[:0]
-    if len(mine):
-        texts, shares = zip(*(unpack(r) for r in run if r is not None))
-        group = np.concatenate([np.array(g, np.int64) for g in merge([*texts], [*shares])])
-        rank = ranks(doc, rid)[mine]
-        order = np.lexsort((at[mine], rank, group))
-        start = np.append(True, group[order][1:] != group[order][:-1])
-        head = order[np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))]
-        same = (rank[order] == rank[head]) & (at[mine][order] == at[mine][head])
-        late = mine[order[~start & ~same]]
-    keep = pa.array(np.concatenate([known, late]))
-    columns = [pa.array(x).take(keep) for x in (rid, at, upto, begin, end)]
-    return pa.table([doc.take(keep), *columns], ["doc_id", "rid", "at", "upto", "begin", "end"])
+    lists = {c: table.column(c).combine_chunks() for c in ("docs", "rids", "at", "upto")}
+    offs = np.asarray(lists["rids"].offsets)
+    doc, rid, at, upto = lists["docs"].flatten(), *(lists[c].flatten().to_numpy() for c in ("rids", "at", "upto"))
+    offs = offs - offs[0]
+    found = [(np.arange(offs[k], offs[k + 1]), at[offs[k] : offs[k + 1]]) for k, r in enumerate(run) if r is None]
+    who, begin = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    end = upto  # known stretches are the only ones that say where they end
+    if any(r is not None for r in run):
+        texts, shares, owner, place = [], [], [], []
+        for k, r in enumerate(run):
+            if r is not None:
+                entries, shared, where, nth = unpack(r, min_tokens)
+                texts.append(entries)
+                shares.append(shared)
+                owner.append(offs[k] + where)
+                place.append(at[offs[k] + where] + nth)
+        group = np.concatenate([np.array(g, np.int64) for g in merge(texts, shares)])
+        owner, place = np.concatenate(owner), np.concatenate(place)
+        rank = ranks(doc, rid)[owner]
+        order = np.lexsort((place, rank, group))
+        head = order[np.maximum.accumulate(np.where(np.append(True, np.diff(group[order]) > 0), np.arange(len(order)), 0))]
+        late = order[(rank[order] != rank[head]) | (place[order] != place[head])]
+        some = np.zeros(int(rank.max()) + 1, np.int64)
+        some[rank] = owner
+        stretch, a, b = merged(rank[late], place[late], place[late] + min_tokens)
+        who, begin, end = np.concatenate([who, some[stretch]]), np.concatenate([begin, a]), np.concatenate([end, b])
+    return pa.table([doc.take(pa.array(who)), pa.array(rid[who]), pa.array(begin), pa.array(end)], ["doc_id", "rid", "at", "upto"])
 
 
 def spans(docs: DataFrame, min_tokens: int = MIN_TOKENS, seed_tokens: int = SEED_TOKENS) -> DataFrame:
-    """(doc_id, rid, at, upto, begin, end): every stretch that repeats an earlier passage, in words and in bytes; those of a document don't touch."""
+    """(doc_id, rid, at, upto): every stretch of words that repeats an earlier passage; those of a document don't touch."""
     rows = _identity(docs)
     twice = cut(repeated_seeds(seeds(rows, min_tokens, seed_tokens)))
     n = twice.agg(F.sum(F.size("seeds"))).first()[0] or 0
     parts = max(shuffle_partitions(docs.sparkSession), -(-n // PART_SEEDS))
     runs = _runs(rows.join(twice, "rid"), min_tokens, seed_tokens, parts)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = apply_arrow(runs.groupBy("part"), _later, f"doc_id {kind}, rid bigint, at bigint, upto bigint, `begin` bigint, `end` bigint")
+    pieces = apply_arrow(runs.groupBy("part"), lambda table: _later(table, min_tokens), f"doc_id {kind}, rid bigint, at bigint, upto bigint")
     order = Window.partitionBy("doc_id", "rid").orderBy("at", "upto")
     reach = F.max("upto").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("at") <= F.col("reach"), 0).otherwise(1)).over(order)
     joined = pieces.withColumn("reach", reach).withColumn("island", island)
-    return joined.groupBy("doc_id", "rid", "island").agg(F.min("at").alias("at"), F.max("upto").alias("upto"), F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")
+    return joined.groupBy("doc_id", "rid", "island").agg(F.min("at").alias("at"), F.max("upto").alias("upto")).drop("island")
 
 
 def repeats(docs: DataFrame, min_tokens: int = MIN_TOKENS, seed_tokens: int = SEED_TOKENS) -> DataFrame:
@@ -393,7 +396,25 @@ def repeats(docs: DataFrame, min_tokens: int = MIN_TOKENS, seed_tokens: int = SE
 
 
 def deduplicate(docs: DataFrame, min_tokens: int = MIN_TOKENS, seed_tokens: int = SEED_TOKENS) -> DataFrame:
-    """docs, all rows and columns, each text without the spans of repeats()."""
+    """docs, all rows and columns, each text without the spans of repeats(). White space around a span stays."""
     found = spans(docs.select("doc_id", "text"), min_tokens, seed_tokens)
-    cuts = found.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_list(F.struct(F.col("begin").alias("start"), "end"))).alias("cut"))
-    return cut_out(docs, cuts.withColumnsRenamed({"rid": "tid"}), lambda doc, text: F.xxhash64(doc, text))
+    cuts = found.groupBy(F.col("doc_id").alias("d"), "rid").agg(F.array_sort(F.collect_list(F.struct("at", "upto"))).alias("cut"))
+    doc, name = F.col(named(docs, "doc_id")), named(docs, "text")
+    out = aside(docs).join(cuts, doc.eqNullSafe(F.col("d")) & (F.xxhash64(doc, name) == F.col("rid")), "left").drop("d", "rid")
+    own = [f"__c{k}" for k in range(len(docs.columns))]
+
+    def shorten(batches):
+        for batch in batches:
+            text, gone = batch.column(batch.schema.get_field_index(name)), batch.column(batch.schema.get_field_index("cut")).to_pylist()
+            said = []
+            for k, stretches in enumerate(gone):
+                raw = text[k].as_py()
+                if stretches:
+                    data = raw.encode()
+                    _, _, starts, ends = words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), letters=False)
+                    edges = [0, *(x for s in stretches for x in (int(starts[s["at"]]), int(ends[s["upto"] - 1]))), len(data)]
+                    raw = b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2])).decode()
+                said.append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()) if c == name else batch.column(batch.schema.get_field_index(c)) for c in own], own)
+
+    return back(map_arrow(out, shorten, out.select(*own).schema), docs)

@@ -65,11 +65,12 @@ def test_loser_tree_merges_and_groups(runs):
 
 def test_runs_survive_packing():
     passages = [b"one two three four ", b"two three five "]
-    entries = sorted([(0, 0, 8), (0, 4, 14), (1, 0, 10), (1, 4, 15)], key=lambda e: passages[e[0]][e[1] : e[2]])
-    texts = [passages[w][i:j] for w, i, j in entries]
+    entries = sorted([(0, 0, 8), (0, 1, 14), (1, 0, 10), (1, 1, 15)], key=lambda e: passages[e[0]].split()[e[1] : e[1] + 2])
+    where, nth = (np.array([e[k] for e in entries]) for k in (0, 1))
+    texts = [b" ".join(passages[w].split()[k : k + 2]) + b" " for w, k in zip(where, nth)]
     shared = [0, *(suffix.shared_prefix(x, y) for x, y in zip(texts, texts[1:]))]
-    got = suffix.unpack(suffix.pack(passages, *(np.array([e[k] for e in entries]) for k in range(3)), np.array(shared)))
-    assert got == (texts, shared)
+    got = suffix.unpack(suffix.pack(passages, where, nth, np.array(shared)), 2)
+    assert got[:2] == (texts, shared) and (got[2] == where).all() and (got[3] == nth).all()
 
 
 @settings(max_examples=200, deadline=None)
@@ -89,7 +90,8 @@ def test_a_passage_in_most_documents(spark, make_docs, rng, monkeypatch):
     rows = suffix._identity(docs)
     twice = suffix.repeated_seeds(suffix.seeds(rows, 50, 16))
     runs = suffix._runs(rows.join(twice, "rid").coalesce(1), 50, 16, 3).where("run IS NOT NULL").collect()
-    assert sum(len(r.rids) for r in runs) <= 41 + 600 * 12 and sum(len(set(suffix.unpack(bytes(r.run))[0])) for r in runs) == sum(len(r.rids) for r in runs)
+    sent = [x for r in runs for x in suffix.unpack(bytes(r.run), 50)[0]]
+    assert len(sent) == len({*sent}) <= 41 + 600 * 12
     assert covered(suffix.repeats(docs).collect()) == {(d, q) for d in range(1, 600) for q in range(5, 95)}
 
 
