@@ -116,15 +116,21 @@ def repeated_seeds(found: DataFrame) -> DataFrame:
 
 
 def shared_prefix(x: bytes, y: bytes, known: int = 0) -> int:
-    """The length of the common prefix, of which `known` bytes are known to be common: whole stretches are compared at once."""
+    """The length of the common prefix, of which `known` bytes are known to be common. Mostly the next few bytes differ; their first difference is
+    found by an exclusive or of both as numbers."""
+    a, b = x[known : known + 16], y[known : known + 16]
+    if a != b:
+        n = min(len(a), len(b))
+        differ = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+        return known + n - (differ.bit_length() + 7) // 8
     n = min(len(x), len(y))
     if x[known:n] == y[known:n]:
         return n
-    low, high = known, n  # x[:low] is common, x[:high] isn't
+    low, high = known + 16, n  # x[:low] is common, x[:high] isn't
     while high - low > 1:
         mid = (low + high) // 2
-        if x[low:mid] == y[low:mid]:
-            low = mid
+        if x[known:mid] == y[known:mid]:
+            known = low = mid
         else:
             high = mid
     return low
@@ -181,7 +187,7 @@ def merge(runs: list[list[bytes]], shared: list[list[int]]) -> list[list[int]]:
         if p != q:
             return (a, b) if p > q else (b, a)
         p = shared_prefix(x, y, p)
-        if x[p:] <= y[p:]:
+        if x[p : p + 1] <= y[p : p + 1]:
             prefix[b] = p
             return a, b
         prefix[a] = p
@@ -222,7 +228,7 @@ def merge(runs: list[list[bytes]], shared: list[list[int]]) -> list[list[int]]:
                         losers[node], win = win, other
                     elif p == q:
                         p = shared_prefix(x, y, p)
-                        if x[p:] <= y[p:]:
+                        if x[p : p + 1] <= y[p : p + 1]:
                             prefix[other] = p
                         else:
                             prefix[win] = p
