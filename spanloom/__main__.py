@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import report
-from .functions.text import hash_text, model_family
-from .operators import compare, health, mining, probes, scoring, simulate
-from .sources import files, logs
+from .functions.text import combined_fingerprint, hash_text, model_family
+from .operators import cluster, compare, health, mining, probes, scoring, simulate
+from .sources import endpoint, files, logs
 
 
 def _arguments() -> argparse.ArgumentParser:
@@ -27,15 +27,15 @@ def _arguments() -> argparse.ArgumentParser:
 
     tools, drop = ("--tools", {"required": True}), ("--max-drop", {"type": float, "default": compare.MAX_DROP})
     sources = (("--traces", {}), ("--mined", {}), ("--json-mode", {"action": "store_true"}))
-    form, sure = ("--format", {"choices": ["markdown", "json", "html"], "default": "markdown"}), ("--confidence", {"type": float})
+    form, sure = ("--format", {"choices": ["markdown", "json", "html", "table"], "default": "markdown"}), ("--confidence", {"type": float})
     add("derive", tools, *sources)
-    add("ingest", ("logs", {"nargs": "+"}), ("--out", {"required": True}), ("--format", {"choices": logs.FORMATS, "default": "auto"}), ("--min-agreement", {"type": int, "default": 2}), ("--min-agreement-notool", {"type": int, "default": 3}), ("--per-capability", {"type": int, "default": 8}), ("--max-context-tokens", {"type": int, "default": 8192}), ("--redact-patterns", {"default": ""}))
-    add("probe", tools, *sources, ("--simulate", {"required": True}), ("--samples", {"type": int, "default": 1}), ("--label", {"default": ""}), ("--out", {}), ("--allow-sensitive", {"action": "store_true"}))
+    add("ingest", ("logs", {"nargs": "+"}), ("--out", {"required": True}), ("--format", {"choices": logs.FORMATS, "default": "auto"}), ("--min-agreement", {"type": int, "default": 2}), ("--min-agreement-notool", {"type": int, "default": 3}), ("--per-capability", {"type": int, "default": 8}), ("--max-context-tokens", {"type": int, "default": 8192}), ("--redact-patterns", {"default": ""}), ("--cluster", {"choices": ["hash", "embeddings"], "default": "hash"}), ("--vectors", {}), ("--embed-endpoint", {}), ("--embed-model", {"default": ""}), ("--cluster-threshold", {"type": float, "default": 0.92}))
+    add("probe", tools, *sources, ("--simulate", {}), ("--endpoint", {}), ("--model", {"default": ""}), ("--api-key", {"default": ""}), ("--samples", {"type": int, "default": 1}), ("--label", {"default": ""}), ("--out", {}), ("--allow-sensitive", {"action": "store_true"}))
     add("review", ("file", {}), ("--auto-accept", {"default": "schema_validity"}), ("--auto-accept-all", {"action": "store_true"}))
     add("diff", ("baseline", {}), ("candidate", {}), drop, sure, form)
     add("gate", ("-b --baseline", {"required": True}), ("-c --candidate", {"required": True}), drop, sure, ("--require-same-model", {"action": "store_true"}))
     add("trend", ("cards", {"nargs": "+"}), drop, form)
-    add("doctor", tools, ("--mined", {}), ("--strict", {"action": "store_true"}))
+    add("doctor", tools, ("--mined", {}), ("--traces", {}), ("--strict", {"action": "store_true"}))
     return p
 
 
@@ -50,6 +50,50 @@ def _battery(spark: SparkSession, a: argparse.Namespace, allow_sensitive: bool =
     return out
 
 
+def _samples(spark: SparkSession, a: argparse.Namespace, battery: DataFrame, profile: dict, n: int) -> DataFrame:
+    """(probe_id, capability, sample_no, score, error): simulated once, or asked n times."""
+    if a.simulate:
+        rates = spark.createDataFrame([(c, float(v)) for c, v in profile.get("capabilities", {}).items()], "capability string, rate double")
+        scored = scoring.score(simulate.respond(simulate.passing(battery, rates))).withColumns({"error": F.lit(None).cast("string"), "sample_no": F.lit(0)})
+    else:
+        asked = battery.withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("probe_id", F.col("id")).withColumn("id", F.concat_ws("#", "id", "sample_no"))
+        asked = logs.landed(asked)
+        got = logs.landed(endpoint.answers(asked, a.endpoint, a.model, a.api_key))
+        scored = scoring.score(asked.join(got, "id")).withColumn("id", F.col("probe_id")).drop("probe_id")
+    return scored.select(F.col("id").alias("probe_id"), "capability", "sample_no", "score", "error")
+
+
+def _traces_mark(spark: SparkSession, a: argparse.Namespace) -> str | None:
+    """One mark of all recorded checks that were run."""
+    marks = []
+    if a.traces:
+        marks.append(probes.records_fingerprint(files.read_records(spark, a.traces)))
+    if a.mined:
+        marks.append(probes.mined_fingerprint(files.load_mined(spark, a.mined)))
+    return spark.createDataFrame([(*marks, None, None)[:2]], "a string, b string").select(combined_fingerprint(F.col("a"), F.col("b"))).first()[0]
+
+
+def _near(spark: SparkSession, a: argparse.Namespace, usable: DataFrame) -> DataFrame | None:
+    """Clusters of near contexts, by vectors from a Parquet table (context_key, vec) or from an endpoint; none where that fails, so that equal contexts
+    make the clusters."""
+    if a.cluster == "hash":
+        return None
+    norm = F.transform("messages", lambda m: m["norm"])
+    text = F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["norm_content"])), "\n")
+    contexts = usable.select(mining.context_key(norm, F.col("tools")).alias("context_key"), text.alias("text")).groupBy("context_key").agg(F.min("text").alias("text"))
+    try:
+        vectors = spark.read.parquet(a.vectors) if a.vectors else endpoint.embeddings(contexts, a.embed_endpoint or "", a.embed_model)
+        return logs.landed(cluster.near_clusters(contexts, logs.landed(vectors), a.cluster_threshold))
+    except Exception as e:  # noqa: BLE001  whatever a foreign endpoint or table does, mining goes on
+        print(f"no near clusters: {str(e).splitlines()[0][:200]}; equal contexts make the clusters", file=sys.stderr)
+        return None
+
+
+def _errored(cards: DataFrame) -> dict[str, dict[str, tuple[int, int]]]:
+    each = cards.select("lock_id", F.explode("results").alias("r")).select("lock_id", "r.*")
+    return {name: {r.capability: (r.errored, r.total) for r in scoring.error_negatives(each.where(F.col("lock_id") == k)).collect()} for k, name in ((0, "baseline"), (1, "candidate"))}
+
+
 def _families(cards: DataFrame) -> list[str]:
     return [r[0] for r in cards.orderBy("lock_id").select(model_family(F.col("model"), F.col("quant"), F.col("runtime"))).collect()]
 
@@ -60,7 +104,7 @@ def _pair(spark: SparkSession, a: argparse.Namespace) -> tuple[list, list[str],
     rows = compare.diff(each.where("lock_id = 0"), each.where("lock_id = 1"), a.max_drop, a.confidence).collect()
     meta = [r.asDict() for r in cards.drop("results", "capabilities").orderBy("lock_id").collect()]
     families = tuple(_families(cards))
-    return rows, compare.notes(meta[0], meta[1], families), families
+    return rows, compare.notes(meta[0], meta[1], families, _errored(cards)), families
 
 
 def run(spark: SparkSession, argv: list[str]) -> int:
@@ -71,20 +115,22 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         for r in _battery(spark, a).orderBy("capability", "id").toLocalIterator():
             print(json.dumps({"id": r.id, "capability": r.capability, "description": r.description}))
     elif a.command == "ingest":
-        config = mining.Config(a.min_agreement, a.min_agreement_notool, a.per_capability, a.max_context_tokens, tuple(x for x in a.redact_patterns.split(",") if x))
+        config = mining.Config(a.min_agreement, a.min_agreement_notool, a.per_capability, a.max_context_tokens, tuple(x for x in a.redact_patterns.split(",") if x), a.cluster)
         everything = logs.landed(logs.read_logs(spark, a.logs, a.format))
-        mined, summary = mining.mine(logs.usable(everything), config)
+        usable = logs.usable(everything)
+        mined, summary = mining.mine(usable, config, _near(spark, a, usable))
         files.save_mined(mined, a.out)
         for r in logs.skip_counts(everything).collect():
             print(f"skipped {r.skip_reason}: {r['count']}")
         for r in summary.orderBy("counter", "name").collect():
             print(f"{r.counter} {r.name}: {r['count']}")
     elif a.command == "probe":
-        profile = json.loads(open(a.simulate).read())
+        if bool(a.simulate) == bool(a.endpoint):
+            raise ValueError("either --simulate or --endpoint")
+        profile = json.loads(open(a.simulate).read()) if a.simulate else {"model": a.model}
         battery = _battery(spark, a, a.allow_sensitive or not a.out)
-        rates = spark.createDataFrame([(c, float(v)) for c, v in profile.get("capabilities", {}).items()], "capability string, rate double")
-        scored = scoring.score(simulate.respond(simulate.passing(battery, rates)))
-        results = scoring.pass_rates(scored.select(F.col("id").alias("probe_id"), "capability", F.lit(0).alias("sample_no"), "score", F.lit(None).cast("string").alias("error"))).cache()
+        n = max(1, a.samples) if a.endpoint else 1
+        results = scoring.pass_rates(_samples(spark, a, battery, profile, n)).cache()
         if results.isEmpty() or scoring.all_errored(results):
             raise ValueError("no check could be run")
         means = {r.capability: r.score for r in scoring.capability_scores(results).collect()}
@@ -94,7 +140,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             tools = spark.createDataFrame([(json.dumps(t, sort_keys=True),) for t in files.load_tools(a.tools)], "t string")
             mark = tools.agg(hash_text(F.array_join(F.array_sort(F.collect_list("t")), ","))).first()[0]
             rows = [r.asDict() for r in results.select("probe_id", "capability", "score", "error").orderBy("probe_id").collect()]
-            card = files.scorecard({**{k: profile.get(k) for k in ("model", "quant", "runtime")}, "label": a.label or profile.get("label"), "capabilities": means, "results": rows, "samples": 1, "tools_fingerprint": mark, "generated_at": datetime.now(UTC).isoformat()})
+            card = files.scorecard({**{k: profile.get(k) for k in ("model", "quant", "runtime")}, "label": a.label or profile.get("label"), "capabilities": means, "results": rows, "samples": n, "tools_fingerprint": mark, "traces_fingerprint": _traces_mark(spark, a), "generated_at": datetime.now(UTC).isoformat()})
             files.write_scorecard(card, a.out)
     elif a.command == "review":
         mined = probes.auto_accept(files.load_mined(spark, a.file), tuple(a.auto_accept.split(",")), a.auto_accept_all).cache()
@@ -116,12 +162,15 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         cards = files.read_scorecards(spark, a.cards)
         labels = [r.label or r.quant or str(r.lock_id) for r in cards.orderBy("lock_id").collect()]
         rungs = files.scores(cards).select("capability", F.col("lock_id").alias("pos"), "score")
-        print(report.render_trend(compare.trend(rungs, len(a.cards), a.max_drop).collect(), labels, a.format))
+        meta = [r.asDict() for r in cards.drop("results", "capabilities").orderBy("lock_id").collect()]
+        print(report.render_trend(compare.trend(rungs, len(a.cards), a.max_drop).collect(), labels, a.format, compare.trend_notes(meta, _families(cards))))
     elif a.command == "doctor":
         tools = probes_frame(spark, json.loads(open(a.tools).read()))
         found = health.toolset_health(tools)
         if a.mined:
             found = found.unionByName(health.drift(tools.select("place", "name", "parameters"), health.frozen_tools(files.load_mined(spark, a.mined))))
+        if a.traces:
+            found = found.unionByName(health.drift(tools.select("place", "name", "parameters"), health.recorded_tools(files.read_records(spark, a.traces))))
         rows = found.collect()
         print(report.render_findings(rows))
         return int(any(r.level == "error" or a.strict for r in rows))

@@ -88,15 +88,37 @@ def trials(results: DataFrame, samples: Column) -> DataFrame:
     return results.groupBy("capability").agg((F.count("*") * F.greatest(F.max(samples), F.lit(1))).alias("trials"))
 
 
-def notes(baseline: dict, candidate: dict, families: tuple[str, str]) -> list[str]:
-    """What a reader must know before trusting a comparison of two scorecards' metadata."""
+def notes(baseline: dict, candidate: dict, families: tuple[str, str], errored: dict[str, dict[str, tuple[int, int]]] | None = None) -> list[str]:
+    """What a reader must know before trusting a comparison of two scorecards' metadata. errored: by side and capability, how many of how many checks
+    about not doing something failed as requests."""
     out = []
     if baseline.get("tools_fingerprint") != candidate.get("tools_fingerprint"):
         out.append("The toolsets differ, so scores of the same name measure different checks.")
     if baseline.get("traces_fingerprint") != candidate.get("traces_fingerprint"):
         out.append("The recorded checks differ.")
-    if families[0] != families[1]:
+    variant = lambda m: "/".join(str(m[k]) for k in ("model", "quant", "runtime") if m.get(k))
+    if baseline.get("model") and candidate.get("model") and families[0] != families[1]:
         out.append(f"The models are of different families: {families[0]} and {families[1]}.")
+    elif baseline.get("model") and variant(baseline) != variant(candidate):
+        out.append(f"One model, two variants: {variant(baseline)} and {variant(candidate)}.")
     if baseline.get("samples") != candidate.get("samples"):
         out.append(f"Sample counts differ: {baseline.get('samples')} and {candidate.get('samples')}.")
+    for side, found in (errored or {}).items():
+        out += [f"Of the {side}'s {total} checks of {capability}, {bad} failed as requests, which counts as not doing it." for capability, (bad, total) in sorted(found.items())]
+    return out
+
+
+def trend_notes(cards: list[dict], families: list[str]) -> list[str]:
+    """The same for a ladder of scorecards' metadata."""
+    out = []
+    several = lambda key: len({c[key] for c in cards if c.get(key)}) > 1
+    if several("tools_fingerprint"):
+        out.append("The toolsets differ along the ladder.")
+    if several("traces_fingerprint"):
+        out.append("The recorded checks differ along the ladder.")
+    named = sorted({f for c, f in zip(cards, families) if c.get("model")})
+    if len(named) > 1:
+        out.append(f"The ladder mixes models of different families: {', '.join(named)}.")
+    if len({c.get("samples") for c in cards}) > 1:
+        out.append("Sample counts differ along the ladder, so its steps tell with different certainty.")
     return out

@@ -66,6 +66,16 @@ def drift(live: DataFrame, frozen: DataFrame) -> DataFrame:
     return gone.unionByName(_finding(by.where("NOT gone AND stale > 0"), "warn", "schema-drift", F.lit("the schema of "), F.col("tool"), F.lit(" changed since "), F.col("stale").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" checks")))
 
 
+def recorded_tools(records: DataFrame) -> DataFrame:
+    """(tool, schema) that recordings were made with: of the called tool, or of the one whose schema a recorded text satisfies."""
+    from .probes import satisfied
+
+    call = F.get("response.tool_calls", F.lit(0))["name"]
+    called = records.where(call.isNotNull()).select(F.get(F.filter("tools", lambda t: t["name"] == call), F.lit(0)).alias("t"))
+    said = records.where((F.size("response.tool_calls") == 0) & F.col("response.content").isNotNull()).select(satisfied(records).alias("t"))
+    return called.unionByName(said).where("t IS NOT NULL").select(F.col("t.name").alias("tool"), F.coalesce("t.parameters", F.lit("{}")).alias("schema"))
+
+
 def frozen_tools(mined: DataFrame) -> DataFrame:
     """(tool, schema) that mined checks were recorded with; tools are raw JSON definitions."""
     each = mined.where("tool IS NOT NULL").select("tool", F.explode("tools").alias("raw"))

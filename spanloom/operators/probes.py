@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
+from ..functions.shipping import ship
+from ..functions.text import fingerprint
 
 PROBE = "id string, capability string, description string, messages string, tools array<struct<name:string,description:string,parameters:string>>, expected_tool string, schema string, expected_text string, response_format string, reference string"
 PADDING = 15
@@ -78,6 +81,43 @@ def derive(spark: SparkSession, tools: list[dict], json_mode: bool = False) -> D
     return battery.unionByName(quiet).unionByName(exact)
 
 
+def satisfied(records: DataFrame) -> Column:
+    """The first offered tool with properties whose schema a recorded text satisfies."""
+    ship(records.sparkSession)
+
+    @F.pandas_udf("int")
+    def place(content: pd.Series, schemas: pd.Series) -> pd.Series:
+        known: dict[str, dict] = {}
+
+        def first(said, offered):
+            try:
+                value = json.loads((said or "").strip())
+            except ValueError:
+                return -1
+            for k, text in enumerate(offered):
+                if text not in known:
+                    known[text] = json.loads(text) or {}
+                if known[text].get("properties") and S.check(value, known[text]):
+                    return k
+            return -1
+
+        return pd.Series([first(c, t) for c, t in zip(content, schemas)], dtype="int32")
+
+    at = place("response.content", F.transform("tools", lambda t: t["parameters"]))
+    return F.get("tools", F.when(at >= 0, at))
+
+
+def records_fingerprint(records: DataFrame) -> str | None:
+    """A mark of a set of recordings, whatever their order; None of none."""
+    return records.agg(F.when(F.count("*") > 0, fingerprint(F.to_json(F.struct("id", "messages", "tools", "response"))))).first()[0]
+
+
+def mined_fingerprint(mined: DataFrame) -> str | None:
+    """A mark of the checks that are run, not of how they were reviewed."""
+    used = mined.where("status = 'accepted'")
+    return used.agg(F.when(F.count("*") > 0, fingerprint(F.to_json(F.struct("id", "category", "tool", "messages", "tools"))))).first()[0]
+
+
 def derive_traced(records: DataFrame) -> DataFrame:
     """(id, capability, record, expected_tool, schema) from curated records (id, messages, tools, response); four checks a recorded call whose tool
     was offered. A recorded text gives structured_output for the first offered tool with properties that it satisfies."""
@@ -86,15 +126,7 @@ def derive_traced(records: DataFrame) -> DataFrame:
     caps = F.array(*[F.lit(c) for c in ("tool_selection", "tool_discrimination", "arg_validity", "required_args")])
     called = records.where(call.isNotNull() & own.isNotNull()).select(F.col("id").alias("record"), F.explode(caps).alias("capability"), call.alias("expected_tool"), own["parameters"].alias("schema"))
 
-    @F.udf("string")
-    def first_valid(content, tools):
-        try:
-            value = json.loads((content or "").strip())
-        except ValueError:
-            return None
-        return next((t["parameters"] for t in tools if (json.loads(t["parameters"]) or {}).get("properties") and S.check(value, json.loads(t["parameters"]))), None)
-
-    said = records.where((F.size("response.tool_calls") == 0) & F.col("response.content").isNotNull()).select(F.col("id").alias("record"), F.lit("structured_output").alias("capability"), F.lit(None).cast("string").alias("expected_tool"), first_valid("response.content", "tools").alias("schema")).where("schema IS NOT NULL")
+    said = records.where((F.size("response.tool_calls") == 0) & F.col("response.content").isNotNull()).select(F.col("id").alias("record"), F.lit("structured_output").alias("capability"), F.lit(None).cast("string").alias("expected_tool"), satisfied(records).getField("parameters").alias("schema")).where("schema IS NOT NULL")
     return called.unionByName(said).select(F.concat("capability", F.lit("::traced::"), "record").alias("id"), "capability", "record", "expected_tool", "schema")
 
 

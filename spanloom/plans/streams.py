@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..streaming import live
 from .base import exchanges, query, table
+from .traffic import _STITCH
 
 
 def _folder(spark) -> str:
@@ -21,9 +23,13 @@ def _folder(spark) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
-@query()
+@query(
+    f"""WITH {_STITCH},
+r AS (SELECT lpad(CAST(conv_id AS VARCHAR), 9, '0') || '-' || lpad(CAST(at_turn AS VARCHAR), 4, '0') AS rec_id, root_norm FROM stitched)
+SELECT rec_id, min(rec_id) OVER (PARTITION BY root_norm) AS first_rec FROM r"""
+)
 def stream_sessions(spark, d):
-    """Session ids as exchanges arrive: stateful, so without an SQL form; tests hold it against the batch and against the rule itself."""
+    """Session ids as exchanges arrive, with state; a session is named by its first record, as ids are made up."""
     folder = _folder(spark)
     e = exchanges(spark, d, labelled=False)
     rows = e.select(F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 9, "0"), F.lpad(F.col("at").cast("string"), 4, "0")).alias("rec_id"), F.timestamp_seconds(F.col("at") * 10).alias("at"), "norm", F.concat(F.lit("assistant:"), "reply").alias("reply"), F.md5(F.concat_ws("|", F.col("conv_id").cast("string"), F.to_json("norm"))).alias("request"))
@@ -31,7 +37,7 @@ def stream_sessions(spark, d):
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
     run = live.live_sessions(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").select("rec_id", F.min("rec_id").over(Window.partitionBy("session_id")).alias("first_rec"))
 
 
 @query("SELECT user_id, event_type, props, min(ts) AS first_seen, count(*) AS n FROM events GROUP BY 1, 2, 3")
@@ -40,11 +46,9 @@ def stream_request_counts(spark, d):
     folder = _folder(spark)
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"counts_{uuid.uuid4().hex}"
     grouped = stream.groupBy("user_id", "event_type", "props").agg(F.min("ts").alias("first_seen"), F.count("*").alias("n"))
-    run = grouped.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    live.write_updates(grouped, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return live.read_updates(spark, f"{folder}/out", ["user_id", "event_type", "props"])
 
 
 

@@ -9,19 +9,6 @@ from ..functions import text as T
 from ..operators import mining, sessions
 from .base import EXCHANGES_SQL, exchanges, query, table
 
-_STATUS = "CASE event_type WHEN 'error' THEN 502 ELSE 200 END"
-
-
-@query(
-    f"""WITH e AS (SELECT CASE WHEN NOT json_valid(props) THEN 'malformed' WHEN {_STATUS} >= 400 THEN 'failed_status' WHEN value IS NULL THEN 'no_messages' END AS skip_reason FROM events)
-SELECT coalesce(skip_reason, 'usable') AS reason, count(*) AS n FROM e GROUP BY 1"""
-)
-def skip_accounting(spark, d):
-    """Every record is counted once, by the first reason that holds."""
-    reason = F.when(F.try_parse_json("props").isNull(), "malformed").when(F.expr(_STATUS) >= 400, "failed_status").when(F.col("value").isNull(), "no_messages").otherwise("usable")
-    return table(spark, d, "events").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {EXCHANGES_SQL} SELECT conv_id, at_turn, CAST(len(norm) AS INTEGER) AS n_messages, array_to_string(norm, chr(10)) AS context, reply FROM ex")
 def exchange_table(spark, d):
     return exchanges(spark, d).select("conv_id", F.col("at").alias("at_turn"), F.size("norm").alias("n_messages"), F.concat_ws("\n", "norm").alias("context"), "reply")

@@ -93,7 +93,8 @@ def save_mined(mined: DataFrame, path: str, header: dict | None = None) -> None:
     for r in mined.collect():  # a file for review, after sampling to a few a tool
         d = r.asDict(recursive=True)
         d |= {"messages": [*map(json.loads, d["messages"])], "tools": [*map(json.loads, d["tools"])], "reference": json.loads(d["reference"]), "provenance": {k: v for k, v in d["provenance"].items() if v is not None}}
-        probes.append(d)
+        kind = {"tool_selection": {"type": "calls_tool", "tool": d["tool"]}, "no_tool": {"type": "no_tool_call"}}
+        probes.append(d | {"check": kind.get(d["category"], {"type": "schema_valid_call"})})
     write_json({"version": 1, **(header or {}), "probes": probes}, path)
 
 

@@ -29,6 +29,22 @@ def write_segments(df: DataFrame, folder: str, checkpoint: str, records_a_file:
     return df.writeStream.format("json").option("maxRecordsPerFile", records_a_file).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start(folder)
 
 
+def write_updates(grouped: DataFrame, folder: str, checkpoint: str, **trigger):
+    """The groups that each batch changed, as Parquet under the batch's number. Nothing is gathered, and a repeated batch overwrites itself."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return grouped.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_updates(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The last state of each group that write_updates() has written."""
+    rows = spark.read.option("basePath", folder).parquet(folder)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last")).select(*keys, "__last.*")
+
+
 # --- session ids ---
 
 
@@ -64,8 +80,9 @@ def assign(state: dict, rec_id: str, at: float, norm: list[str], reply: str, req
 def live_sessions(records: DataFrame, retry_seconds: float = RETRY_SECONDS, state_seconds: float = STATE_SECONDS, late: str = "1 hour") -> DataFrame:
     """(rec_id, session_id) of a stream (rec_id, at timestamp, norm array<string>, reply, request).
 
-    State is kept by the first message, which every usable prefix has, and expires by event time, behind a watermark of `late`:
-    a limit on the number of entries would be a limit a key.
+    State is kept by the first message, or by the first two where the first is a system prompt, which all of an application's talks may share: every
+    usable prefix has them. (A request of a system prompt alone is kept by it and its answer.) State expires by event time, behind a watermark of
+    `late`: a limit on the number of entries would be a limit a key.
     """
     ship(records.sparkSession)
 
@@ -81,7 +98,10 @@ def live_sessions(records: DataFrame, retry_seconds: float = RETRY_SECONDS, stat
         state.setTimeoutTimestamp(int(until))
         yield pd.DataFrame(out, columns=["rec_id", "session_id"])
 
-    keyed = records.withWatermark("at", late).withColumn("__key", F.md5(F.coalesce(F.get("norm", F.lit(0)), F.lit(""))))
+    first = F.coalesce(F.get("norm", F.lit(0)), F.lit(""))
+    prompt = first.startswith("system:") | first.rlike('"role": ?"(system|developer)"')
+    start = F.when(prompt, F.concat_ws("\x1e", first, F.coalesce(F.get("norm", F.lit(1)), "reply"))).otherwise(first)
+    keyed = records.withWatermark("at", late).withColumn("__key", F.md5(start))
     return keyed.groupBy("__key").applyInPandasWithState(step, "rec_id string, session_id string", "known string", "append", GroupStateTimeout.EventTimeTimeout)
 
 

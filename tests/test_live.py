@@ -23,7 +23,7 @@ def test_assignment():
 def test_stream_agrees_with_the_batch(spark):
     from spanloom.plans.streams import stream_sessions
 
-    got = {r.rec_id: r.session_id for r in stream_sessions(spark, SF).collect()}
+    got = {r.rec_id: r.first_rec for r in stream_sessions(spark, SF).collect()}
     batch = sessions.stitch(exchanges(spark, SF, labelled=False)).select(F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 9, "0"), F.lpad(F.col("at").cast("string"), 4, "0")).alias("rec_id"), "session_id").collect()
     assert len(got) == len(batch) > 0
     assert len(set(got.values())) == len({r.session_id for r in batch})
