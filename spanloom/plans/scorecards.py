@@ -105,18 +105,13 @@ def capability_trials(spark, d):
     return compare.trials(scoring.pass_rates(_samples(spark, d)), F.col("samples"))
 
 
-_DAYS = _SAMPLES.replace("FROM events)", "FROM events WHERE day(ts) = 3)")
-
-
-@query(f"WITH {_DAYS} SELECT capability, count(*) FILTER (error IS NOT NULL) AS errored, count(*) AS total FROM rates WHERE capability IN ('tool_restraint', 'tool_permission') GROUP BY 1 HAVING count(*) FILTER (error IS NOT NULL) > 0")
+@query(f"WITH {_SAMPLES} SELECT capability, count(*) FILTER (error IS NOT NULL) AS errored, count(*) AS total FROM rates WHERE capability IN ('tool_restraint', 'tool_permission') GROUP BY 1 HAVING count(*) FILTER (error IS NOT NULL) > 0")
 def error_derived_negatives(spark, d):
-    """Over all events; the SQL form reads one day of a month."""
     return scoring.error_negatives(scoring.pass_rates(_samples(spark, d)))
 
 
-@query(f"WITH {_DAYS} SELECT coalesce(bool_and(error IS NOT NULL), false) AS all_errored FROM rates")
+@query(f"WITH {_SAMPLES} SELECT coalesce(bool_and(error IS NOT NULL), false) AS all_errored FROM rates")
 def all_errored_guard(spark, d):
-    """Over all events; the SQL form reads one day of a month."""
     return spark.createDataFrame([(scoring.all_errored(scoring.pass_rates(_samples(spark, d))),)], "all_errored boolean")
 
 
@@ -179,7 +174,7 @@ def significance_test(spark, d):
 
 
 _LADDER = """
-rung AS (SELECT l_returnflag || l_linestatus || CAST(l_linenumber AS VARCHAR) AS capability, CAST(year(l_shipdate) - 1992 AS INTEGER) AS pos, round_even(avg(CASE WHEN l_discount > 0.04 THEN 1.0 ELSE 0.0 END), 4) AS score FROM lineitem WHERE (l_orderkey + l_linenumber + year(l_shipdate)) % 3 <> 0 OR l_linenumber < 5 GROUP BY 1, 2),
+rung AS (SELECT l_returnflag || l_linestatus || CAST(l_linenumber AS VARCHAR) AS capability, CAST(year(l_shipdate) - 1992 AS INTEGER) AS pos, round_even(avg(CASE WHEN l_discount > 0.04 THEN 1.0 ELSE 0.0 END), 4) AS score FROM lineitem GROUP BY 1, 2),
 step AS (SELECT *, round_even(score - lag(score) OVER (PARTITION BY capability ORDER BY pos), 4) AS step FROM rung),
 each AS (SELECT capability, map_from_entries(list({'k': pos, 'v': score})) AS at_, arg_min(score, pos) AS first_, arg_max(score, pos) AS last_, max(pos) AS top, count(*) AS n, min(step) AS worst, coalesce(bool_and(step <= 0), true) OR coalesce(bool_and(step >= 0), true) AS monotonic FROM step GROUP BY 1)"""
 
@@ -190,7 +185,7 @@ SELECT capability, array_to_string(list_transform(range(0, 7), lambda k: coalesc
        CASE WHEN top < 6 THEN 'removed' WHEN n < 2 THEN 'partial' WHEN round_even(last_ - first_, 4) < -0.05 THEN 'regressed' WHEN round_even(last_ - first_, 4) > 0.05 THEN 'improved' WHEN worst < -0.05 THEN 'unstable' ELSE 'stable' END AS status FROM each"""
 )
 def trend_ladder(spark, d):
-    """Seven years as the rungs of a ladder, over all lines; the SQL form leaves out a third of those numbered 5 to 7."""
+    """Seven years as the rungs of a ladder, over all lines."""
     pos = F.year("l_shipdate") - 1992
     r = table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("capability"), pos.alias("pos")).agg(F.bround(F.avg((F.col("l_discount") > 0.04).cast("double")), 4).alias("score"))
     ladder = F.array_join(F.transform("values", lambda v: F.coalesce(F.bround(v * 10000, 0).cast("long").cast("string"), F.lit("-"))), " ")
@@ -268,7 +263,7 @@ def duplicate_tools(spark, d):
 
 
 _TOOLS = """
-t AS (SELECT CASE WHEN p_partkey % 20 = 1 THEN 'twice' ELSE p_brand || '-' || CAST(p_partkey AS VARCHAR) END AS name, p_size % 3 AS kind FROM part WHERE p_partkey <= 200)"""
+t AS (SELECT CASE WHEN p_partkey % 20 = 1 THEN 'twice' ELSE p_brand || '-' || CAST(p_partkey AS VARCHAR) END AS name, p_size % 3 AS kind FROM part)"""
 
 
 def _toolset(spark, d):
@@ -285,7 +280,7 @@ UNION ALL SELECT 'warn', 'no-args', name || ' takes no arguments' FROM t WHERE k
 UNION ALL SELECT 'warn', 'unconstrained-args', name || ' accepts any arguments' FROM t WHERE kind = 2"""
 )
 def toolset_health(spark, d):
-    """All parts as a toolset. The SQL form reads only keys up to 200, so beyond those the query has more rows."""
+    """All parts as a toolset."""
     return health.toolset_health(_toolset(spark, d))
 
 

@@ -98,11 +98,11 @@ def error_payload_flag(spark, d):
 
 @query(
     """WITH u AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS a FROM conversations WHERE role = 'user'),
-t AS (SELECT list_distinct(flatten(list(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9_]+')))) AS b FROM part WHERE p_partkey <= 50)
+t AS (SELECT list_distinct(flatten(list(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9_]+')))) AS b FROM part)
 SELECT conv_id, turn, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(a) END AS overlap FROM u, t"""
 )
 def lexical_overlap(spark, d):
-    """User tokens that some part's text has, by a join with the distinct tokens of all parts. The SQL form reads only keys up to 50."""
+    """User tokens that some part's text has, by a join with the distinct tokens of all parts."""
     words = table(spark, d, "part").select(F.explode(T.tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("token")).distinct()
     u = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
     each = u.select("text").distinct().select("text", F.explode(T.tokens(F.col("text"))).alias("token"))
