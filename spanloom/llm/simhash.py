@@ -7,7 +7,7 @@ for the 277 syndromes of weight up to 2, six for the other 1771, 5.3 on average.
 
 Two fingerprints that differ in `distance` <= 8 bits have at least two segments with two errors or fewer (three worse ones would make 9),
 so a key made of two segments' codewords finds the pair for certain; up to 12 bits, the default, a pair is found with probability above
-0.95 at 12 and 0.98 at 11, as tests measure. Each fingerprint takes part under every key of every pair of segments, 168 on average, with
+0.94 at 12 and 0.97 at 11, as tests hold. Each fingerprint takes part under every key of every pair of segments, 168 on average, with
 no cap; candidates are verified by Hamming distance.
 
 Scale: equal fingerprints are one node from the start. Rows meet by key in one shuffle; inside a key, fingerprints are compared with numpy and
