@@ -77,9 +77,29 @@ def assign(state: dict, rec_id: str, at: float, norm: list[str], reply: str, req
     return sid
 
 
-def live_sessions(records: DataFrame, retry_seconds: float = RETRY_SECONDS, state_seconds: float = STATE_SECONDS, late: str = "1 hour") -> DataFrame:
+def follow(state: dict, rec_id: str, at: float, norm: list[str], state_seconds: float = STATE_SECONDS) -> str:
+    """The session of a record by the rule of sessions.stitch(): equal requests are one, the first to go on with a request stays in its session, any
+    other branches off. state["nodes"]: each request -> [session, when, gone on with]."""
+    nodes, keys = state.setdefault("nodes", {}), _chain(norm) or [""]
+    known = lambda k: k in nodes and at - nodes[k][1] <= state_seconds
+    if known(keys[-1]):
+        nodes[keys[-1]][1] = at
+        return nodes[keys[-1]][0]
+    before = next((nodes[k] for k in reversed(keys[:-1]) if known(k)), None)
+    if before is None or before[2]:
+        sid = f"live:{hashlib.md5(rec_id.encode()).hexdigest()[:12]}"
+    else:
+        sid, before[1], before[2] = before[0], at, True
+    nodes[keys[-1]] = [sid, at, False]
+    return sid
+
+
+def live_sessions(records: DataFrame, retry_seconds: float = RETRY_SECONDS, state_seconds: float = STATE_SECONDS, late: str = "1 hour", branches: bool = False) -> DataFrame:
     """(rec_id, session_id) of a stream (rec_id, at timestamp, norm array<string>, reply, request).
 
+    branches: sessions branch as those of sessions.stitch() do, by follow(), for records that arrive shorter requests first; answers and raw requests
+    count for nothing. A system prompt that was sent alone can then be gone on with by any talk that has it, so state is kept by the first message.
+
     State is kept by the first message, or by the first two where the first is a system prompt, which all of an application's talks may share: every
     usable prefix has them. (A request of a system prompt alone is kept by it and its answer.) State expires by event time, behind a watermark of
     `late`: a limit on the number of entries would be a limit a key.
@@ -92,7 +112,12 @@ def live_sessions(records: DataFrame, retry_seconds: float = RETRY_SECONDS, stat
             return
         known = json.loads(state.get[0]) if state.exists else {}
         rows = pd.concat([*frames]).sort_values(["at", "rec_id"], kind="stable")
-        out = [(r.rec_id, assign(known, r.rec_id, r.at.timestamp(), [*r.norm], r.reply, r.request, retry_seconds, state_seconds)) for r in rows.itertuples()]
+        if branches:
+            out = [(r.rec_id, follow(known, r.rec_id, r.at.timestamp(), [*r.norm], state_seconds)) for r in rows.itertuples()]
+            last = rows["at"].max().timestamp()
+            known = {"nodes": {k: v for k, v in known["nodes"].items() if last - v[1] <= state_seconds}}
+        else:
+            out = [(r.rec_id, assign(known, r.rec_id, r.at.timestamp(), [*r.norm], r.reply, r.request, retry_seconds, state_seconds)) for r in rows.itertuples()]
         state.update((json.dumps(known),))
         until = max(rows["at"].max().timestamp() * 1000, state.getCurrentWatermarkMs()) + state_seconds * 1000
         state.setTimeoutTimestamp(int(until))
@@ -100,7 +125,7 @@ def live_sessions(records: DataFrame, retry_seconds: float = RETRY_SECONDS, stat
 
     first = F.coalesce(F.get("norm", F.lit(0)), F.lit(""))
     prompt = first.startswith("system:") | first.rlike('"role": ?"(system|developer)"')
-    start = F.when(prompt, F.concat_ws("\x1e", first, F.coalesce(F.get("norm", F.lit(1)), "reply"))).otherwise(first)
+    start = F.when(F.lit(not branches) & prompt, F.concat_ws("\x1e", first, F.coalesce(F.get("norm", F.lit(1)), "reply"))).otherwise(first)
     keyed = records.withWatermark("at", late).withColumn("__key", F.md5(start))
     return keyed.groupBy("__key").applyInPandasWithState(step, "rec_id string, session_id string", "known string", "append", GroupStateTimeout.EventTimeTimeout)
 

@@ -35,3 +35,13 @@ ALIKE = [
 
 def test_stitch_mixed_of_talks_that_open_alike(spark, tmp_path):
     assert {first // 1000 for _, _, first in agree(spark, talks(spark, tmp_path, *ALIKE), "stitch_mixed")} == set(range(1, 10))
+
+
+def test_stream_sessions_of_talks_that_open_alike(spark, tmp_path):
+    assert len({first for _, first in agree(spark, talks(spark, tmp_path, *ALIKE), "stream_sessions")}) < len(ALIKE)
+
+
+def test_stream_goes_on_with_a_bare_prompt(spark, tmp_path):
+    rows = [(1, 0, "system", "p"), (1, 1, "assistant", "a"), (2, 0, "system", "p"), (2, 1, "user", "q"), (2, 2, "assistant", "b"), (3, 0, "system", "p"), (3, 1, "user", "r"), (3, 2, "assistant", "b")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert len({first for _, first in agree(spark, tmp_path, "stream_sessions")}) == 2
