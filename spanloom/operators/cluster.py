@@ -2,12 +2,15 @@
 
 Close pairs come from products of blocks of unit vectors. Vectors are ranged by their coordinate on the axis that spreads them most: unit vectors whose
 cosine is c differ there by no more than sqrt(2 - 2c), so a vector meets only the blocks within that reach. Ranges that hold many vectors are split by
-a hash, so that blocks stay of one size. Who leads is settled in rounds: a key whose close predecessors have all been decided is decided. That is the
-sequential rule, but a round decides every key that no undecided one precedes.
+a hash, so that blocks stay of one size. Blocks grow with the table up to BLOCK_BYTES, as each vector is sent once a block that it meets, and are
+multiplied in tiles, so that a task holds two blocks and a tile. Who leads is settled in rounds: an open key that no close open one precedes leads,
+and keys that a leader precedes closely are open no more, nor are their pairs. Whom a key follows is then the least of the leaders close to it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,13 +18,30 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 
-BLOCK = 2048
+BLOCK, TILE, BLOCK_BYTES = 2048, 1024, 1 << 24
+#: Rows that a task puts into one batch.
+ROWS = 20_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, unit) of (key, vec), without vectors whose length is zero or no number."""
+    for batch in batches:
+        vec = batch.column(1)
+        sizes = vec.value_lengths().fill_null(0).to_numpy()
+        for size in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == size)
+            x = _matrix(vec.take(pa.array(at)))
+            with np.errstate(all="ignore"):
+                norm = np.sqrt((x * x).sum(1))
+            good = (norm > 0) & (norm < np.inf)
+            unit = x[good] / norm[good, None]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[good])), pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, size), pa.int32()), pa.array(unit.ravel()))], ["key", "unit"])
+
+
 def _axis(vectors: DataFrame, length: int) -> int:
     """The coordinate of the greatest variance; each task sends one row of sums."""
 
@@ -39,10 +59,17 @@ def _axis(vectors: DataFrame, length: int) -> int:
     return int(np.argmax(two - one * one))
 
 
-def _pairs(vectors: DataFrame, length: int, threshold: float, block: int) -> DataFrame:
+def _block(n: int, length: int) -> int:
+    """Vectors a block: an eighth of them, so that shuffling follows the input, till a block is full."""
+    full = max(256, BLOCK_BYTES // (8 * length))
+    return min(full, max(BLOCK, -(-n // 8)))
+
+
+def _pairs(vectors: DataFrame, length: int, threshold: float, block: int | None) -> DataFrame:
     axis = _axis(vectors, length)
     placed = vectors.withColumn("x", F.get("unit", F.lit(axis)))
     n = placed.count()
+    block = block or _block(n, length)
     ranges = max(1, -(-n // block))
     cuts = placed.select(F.percentile_approx("x", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else []
     edges = np.unique(np.array(cuts or [], float))
@@ -59,7 +86,8 @@ def _pairs(vectors: DataFrame, length: int, threshold: float, block: int) -> Dat
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
 
     def send(batches):
-        for batch in batches:
+        step = max(1, ROWS // int(base[-1]))
+        for batch in (whole.slice(k, step) for whole in batches for k in range(0, whole.num_rows, step)):
             x, h = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             r = np.searchsorted(edges, x, "right")
             own = base[r] + h % split[r]
@@ -73,34 +101,57 @@ def _pairs(vectors: DataFrame, length: int, threshold: float, block: int) -> Dat
     kind = vectors.schema["key"].dataType.simpleString()
     sent = placed.select("key", "unit", "x", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("h")).mapInArrow(send, f"p bigint, q bigint, own bigint, key {kind}, unit array<double>")
 
-    def product(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        own, keys, x = table.column("own").to_numpy(), table.column("key").combine_chunks(), _matrix(table.column("unit").combine_chunks())
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        i, j = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        cosine = x[i] @ x[j].T
-        a, b = np.nonzero(np.triu(cosine >= threshold, 1) if p == q else cosine >= threshold)
-        return pa.table([keys.take(pa.array(i[a])), keys.take(pa.array(j[b])), pa.array(cosine[a, b])], ["u", "v", "cosine"])
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: tuple[list, list] = ([], [])
+        for batch in batches:
+            p, q, own = batch.column(0)[0].as_py(), batch.column(1)[0].as_py(), batch.column(2).to_numpy()
+            for side, at in zip(sides[: 1 + (p != q)], (p, q)):
+                mine = np.flatnonzero(own == at)
+                side.append((batch.column(3).take(pa.array(mine)), _matrix(batch.column(4))[mine]))
+        same = p == q
+        (u, x), (v, y) = ((pa.concat_arrays([k for k, _ in side]), np.concatenate([m for _, m in side])) for side in (sides[0], sides[0] if same else sides[1]))
+        sides = ([], [])
+        xs, ys = x.astype(np.float32), y.astype(np.float32)
+        least = np.float32(threshold - 1e-5 - 2e-7 * length)  # single precision finds candidates, double precision decides
+        found, n = [], 0
+        for i in range(0, len(x), TILE):
+            for j in range(i if same else 0, len(y), TILE):
+                near = np.flatnonzero(xs[i : i + TILE] @ ys[j : j + TILE].T >= least)
+                for k in range(0, len(near), ROWS):
+                    a, b = np.divmod(near[k : k + ROWS], min(TILE, len(y) - j))
+                    a, b = i + a, j + b
+                    cosine = np.einsum("ij,ij->i", x[a], y[b])
+                    keep = (cosine >= threshold) & ((a < b) | (not same))
+                    found.append((a[keep], b[keep], cosine[keep]))
+                    n += len(a)
+                    if n >= ROWS:
+                        yield _found(found, u, v)
+                        found, n = [], 0
+        if n:
+            yield _found(found, u, v)
 
     met = sent.groupBy("p", "q").applyInArrow(product, f"u {kind}, v {kind}, cosine double")
     return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "cosine")
 
 
-def close_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def _found(parts: list[tuple], u: pa.Array, v: pa.Array) -> pa.RecordBatch:
+    a, b, cosine = map(np.concatenate, zip(*parts))
+    return pa.RecordBatch.from_arrays([u.take(pa.array(a)), v.take(pa.array(b)), pa.array(cosine)], ["u", "v", "cosine"])
+
+
+def close_pairs(vectors: DataFrame, threshold: float, block: int | None = None) -> DataFrame:
     """(a, b, cosine) with a < b of (key, vec), for a threshold above 0. Keys are distinct. Empty vectors, those of length zero and pairs of different
     length have a cosine of 0, so they are in no pair."""
     if not threshold > 0:
         raise ValueError("the threshold is above 0")
     ship(vectors.sparkSession)
-    wide = vectors.select("key", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    usable = wide.withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf"))).select("key", F.transform("vec", lambda x: x / F.col("norm")).alias("unit"))
+    kind = vectors.schema["key"].dataType.simpleString()
+    usable = _cut(vectors.select("key", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(_units, f"key {kind}, unit array<double>"))
     lengths = sorted(r[0] for r in usable.select(F.size("unit")).distinct().collect())
     out = None
     for n in lengths:
         some = _pairs(usable.where(F.size("unit") == n), n, threshold, block)
         out = some if out is None else out.unionByName(some)
-    kind = vectors.schema["key"].dataType.simpleString()
     return out if out is not None else vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cosine double")
 
 
