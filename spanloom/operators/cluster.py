@@ -157,19 +157,19 @@ def close_pairs(vectors: DataFrame, threshold: float, block: int | None = None)
 
 def leaders(vectors: DataFrame, threshold: float) -> DataFrame:
     """(key, leader) of (key, vec). Equal vectors need no special case; keys are compared by their own order."""
-    spark = vectors.sparkSession
     pairs = _cut(close_pairs(vectors, threshold).select("a", "b"))
-    decided = spark.createDataFrame([], vectors.select("key").schema.add("leader", vectors.schema["key"].dataType))
-    open_ = _cut(vectors.select("key").distinct())
+    keys = _cut(vectors.select("key").distinct())
+    open_, left, leads = keys, pairs, None
     while not open_.isEmpty():
-        lead = decided.where("key = leader").select(F.col("key").alias("a"), F.lit(True).alias("leads"))
-        before = pairs.join(open_.select(F.col("key").alias("b")), "b").join(lead, "a", "left").join(open_.select(F.col("key").alias("a"), F.lit(True).alias("waits")), "a", "left")
-        state = before.groupBy("b").agg(F.min(F.when(F.col("leads"), F.col("a"))).alias("first"), F.min(F.when(F.col("waits"), F.col("a"))).alias("wait"))
-        now = open_.join(state.withColumnRenamed("b", "key"), "key", "left")
-        ready = _cut(now.where("wait IS NULL OR first < wait").select("key", F.coalesce("first", "key").alias("leader")))
-        decided = _cut(decided.unionByName(ready))
-        open_ = _cut(open_.join(ready.select("key"), "key", "left_anti"))
-    return decided
+        new = _cut(open_.join(left.select(F.col("b").alias("key")), "key", "left_anti"))
+        gone = _cut(left.join(new.select(F.col("key").alias("a")), "a", "left_semi").select(F.col("b").alias("key")).distinct())
+        leads = new if leads is None else leads.unionByName(new)
+        open_ = _cut(open_.join(new.unionByName(gone), "key", "left_anti"))
+        left = _cut(left.join(gone.select(F.col("key").alias("b")), "b", "left_anti").join(gone.select(F.col("key").alias("a")), "a", "left_anti").select("a", "b"))
+    if leads is None:
+        return keys.withColumn("leader", F.col("key"))
+    first = pairs.join(leads.select(F.col("key").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("key")).agg(F.min("a").alias("first"))
+    return keys.join(first, "key", "left").select("key", F.coalesce("first", "key").alias("leader"))
 
 
 def near_clusters(contexts: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
