@@ -10,6 +10,7 @@ import re
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,12 +84,23 @@ def _norm_args(text: str) -> str:
 
 def norm_args(arguments: Column) -> Column:
     """Arguments with normalized strings and sorted keys, or normalized text where they aren't JSON. Strings can be nested at any depth, which no
-    expression reaches, so this runs in Arrow batches, once for each distinct text."""
+    expression reaches, so this runs in Arrow batches, a text at a time into Arrow's memory. Python objects are kept of short texts alone, as these
+    repeat."""
     ship(SparkSession.active())
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map({t: _norm_args(t) for t in texts.dropna().unique()})
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        short: dict[str, str] = {}
+
+        def one(t: str | None) -> str | None:
+            if t is None or len(t) > 100:
+                return None if t is None else _norm_args(t)
+            if t not in short:
+                short[t] = _norm_args(t)
+            return short[t]
+
+        parts = [pa.array([one(t.as_py()) for t in texts.slice(k, 100)], pa.string()) for k in range(0, len(texts), 100)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return run(arguments)
 
