@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import schema as S
 from ..functions import text as T
 from ..functions.shipping import ship
+from ..sources.logs import landed
 from . import sessions
 
 
@@ -72,7 +73,7 @@ def candidates(m: DataFrame, config: Config = Config()) -> tuple[DataFrame, Data
     )
     named = each.where("valid").groupBy("cluster", "name").agg(F.count_distinct("session_id").alias("n"), F.min_by("p", "o").alias("p"))
     agreed = named.groupBy("cluster").agg(F.count_if(F.col("n") >= config.min_agreement).alias("n_agreeing"), F.max_by("p", F.when(F.col("n") >= config.min_agreement, F.col("n"))).alias("rep_agreed"), F.max(F.when(F.col("n") >= config.min_agreement, F.col("n"))).alias("n_agreed"), F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("by_name"))
-    by = by.join(agreed, "cluster", "left")
+    by = landed(by.join(agreed, "cluster", "left"))
     confirmed, called = F.col("n_confirmed") > 0, F.col("valids") > 0
     one = F.coalesce(F.col("n_agreeing") == 1, F.lit(False))
 
@@ -193,8 +194,8 @@ def mine(exchanges: DataFrame, config: Config = Config(), clusters: DataFrame |
     if unknown:
         raise ValueError(f"unknown redact pattern: {', '.join(sorted(unknown))}")
     rows = exchanges.withColumn("norm", F.transform("messages", lambda m: m["norm"]))
-    stitched = sessions.with_evidence(sessions.stitch(rows))
-    marked = filter_mineable(stitched, config).withColumn("context_key", context_key(F.col("norm"), F.col("tools")))
+    marked = landed(filter_mineable(sessions.with_evidence(sessions.stitch(rows)), config).withColumn("context_key", context_key(F.col("norm"), F.col("tools"))))
+    stitched = marked.drop("skip_reason", "context_key")
     good = marked.where("skip_reason IS NULL")
     if clusters is not None:
         good = good.join(clusters, "context_key", "left").withColumn("cluster", F.coalesce("cluster", "context_key"))

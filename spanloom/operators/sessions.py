@@ -123,11 +123,14 @@ def stitch(exchanges: DataFrame) -> DataFrame:
 
 
 def extensions(sessions: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs of an exchange (a_*) and a later one of its session (e_*) whose messages extend its own."""
-    a = sessions.select("session_id", *[F.col(c).alias(f"a_{c}") for c in ("turn", "norm", *columns)])
-    e = sessions.select("session_id", *[F.col(c).alias(f"e_{c}") for c in ("turn", "norm", *columns)])
+    """Pairs of an exchange (a_*) and a later one of its session (e_*) whose messages extend its own: an equi-join on the hashes of e's proper prefixes,
+    as a session of many exchanges that extend none of each other would give all its pairs otherwise."""
+    whole = F.concat(F.array(F.lit("")), F.when(F.size("norm") > 0, chain(F.col("norm"))).otherwise(F.array().cast("array<string>")))
+    named = sessions.where("norm IS NOT NULL").withColumn("__chain", whole)
+    a = named.select("session_id", F.element_at("__chain", -1).alias("__key"), *[F.col(c).alias(f"a_{c}") for c in ("turn", "norm", *columns)])
+    e = named.select("session_id", F.explode(F.slice("__chain", 1, F.size("__chain") - 1)).alias("__key"), *[F.col(c).alias(f"e_{c}") for c in ("turn", "norm", *columns)])
     longer = (F.size("a_norm") < F.size("e_norm")) & (F.slice("e_norm", 1, F.size("a_norm")) == F.col("a_norm"))
-    return a.join(e, "session_id").where(longer)
+    return a.join(e, ["session_id", "__key"]).where(longer).drop("__key")
 
 
 def last_user(messages: Column) -> Column:

@@ -45,3 +45,14 @@ def test_stream_goes_on_with_a_bare_prompt(spark, tmp_path):
     rows = [(1, 0, "system", "p"), (1, 1, "assistant", "a"), (2, 0, "system", "p"), (2, 1, "user", "q"), (2, 2, "assistant", "b"), (3, 0, "system", "p"), (3, 1, "user", "r"), (3, 2, "assistant", "b")]
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     assert len({first for _, first in agree(spark, tmp_path, "stream_sessions")}) == 2
+
+
+def test_sessions_without_extensions_give_no_pairs(spark):
+    """The join itself has no candidate pairs, whatever the number of exchanges of a session."""
+    from spanloom.operators import sessions
+
+    rows = [("s", k, [f"m{k % 3}"]) for k in range(300)] + [("t", 0, []), ("t", 1, ["a"]), ("t", 2, ["a", "b"]), ("t", 3, ["a", "c"]), ("u", 0, ["a", "b", "c"])]
+    df = spark.createDataFrame(rows, "session_id string, turn int, norm array<string>")
+    pairs = sessions.extensions(df, [])
+    assert {tuple(r) for r in pairs.select("session_id", "a_turn", "e_turn").collect()} == {("t", 0, 1), ("t", 0, 2), ("t", 0, 3), ("t", 1, 2), ("t", 1, 3)}
+    assert "__key" in pairs._jdf.queryExecution().optimizedPlan().toString()
